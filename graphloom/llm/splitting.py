@@ -31,11 +31,11 @@ _LOOKBACK = 200
 #: A noncharacter that stands for blank lines.
 _MARK = "\ufdd0"
 
-_LINE_END = r"(?:(?=\r\n)|(?<!\r)(?=\n)|\z)"
-_BLANK_AHEAD = rf"(?=\r?\n{_BLANK}*+(?:\n|\z))"
-_PARAGRAPH = rf"(?:\z|{_LINE_END}{_BLANK_AHEAD}|(?<=\n)(?:(?={_BLANK}*+(?:\n|\z))|(?<=(?:\n|\A){_BLANK}{{0,{_LOOKBACK}}}\n)))"
-_LINE = rf"(?:\z|(?<=\n)|{_LINE_END})"
-_WORD = rf"(?:\z|(?<={_SPACE})|(?={_SPACE}))(?!(?<=\r)\n)"
+# Every condition first asks for a line feed beside the place, which most places lack.
+_LINE_END = r"(?=[\r\n])(?:(?=\r\n)|(?<!\r)(?=\n))"
+_PARAGRAPH = rf"(?:{_LINE_END}(?=\r?\n{_BLANK}*+(?:\n|\z))|(?<=\n)(?:(?={_BLANK}*+(?:\n|\z))|(?<=(?:\n|\A){_BLANK}{{0,{_LOOKBACK}}}\n))|\z)"
+_LINE = rf"(?:(?<=\n)|{_LINE_END}|\z)"
+_WORD = rf"(?:(?<={_SPACE})|(?={_SPACE})|\z)(?!(?<=\r)\n)"
 _ANY = r"(?!(?<=\r)\n)"
 
 
@@ -43,9 +43,9 @@ def piece_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     """The pattern of one piece; groups 1 to 4 hold it by the strength of its boundary."""
     if not 0 <= overlap < limit - 1:
         raise ValueError("the overlap must leave room for text")
-    roomy, full = f"[\\s\\S]{{1,{limit - overlap}}}", f"[\\s\\S]{{1,{limit}}}"
-    # {1,limit} may take what {1,limit - overlap} refused only beyond it, so order prefers the overlap
-    return "|".join(f"({roomy}{cut}|{full}{cut})" for cut in (_PARAGRAPH, _LINE, _WORD)) + f"|({roomy}{_ANY}|[\\s\\S])"
+    room = limit - overlap
+    roomy, full = f".{{1,{room}}}", f".{{{room + 1},{limit}}}" if overlap else "(?!)"
+    return "(?s)" + "|".join(f"({roomy}{cut}|{full}{cut})" for cut in (_PARAGRAPH, _LINE, _WORD)) + f"|({roomy}{_ANY}|.)"
 
 
 def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
