@@ -4,7 +4,7 @@ Vectors are normalised, rotated by a fixed random rotation and quantised to 16 b
 a class, whatever their ids and lengths, so copies are searched once. Cells are centroids trained on
 a bounded sample (TRAIN vectors; dense regions get as many more centroids as they have vectors, and
 a centroid with much more than its share is split). Every class is a member of its nearest cell and
-a query in its PROBES nearest ones.
+a query in those of its PROBES nearest ones whose centroid is at most MARGIN less similar than the nearest.
 
 Within a cell, members are organised in lists. A query scans its nearest lists in column blocks of
 BLOCK dimensions: because the rotation spreads the distance evenly, the partial distance estimates
@@ -35,7 +35,8 @@ DIM = 128
 TRAIN = 65_536
 CELL_ROWS = 2_048
 MAX_CELLS = 8_192
-PROBES = 4
+PROBES = 6
+MARGIN = 0.12
 LIST_ROWS = 256
 LIST_SHARE = 0.5
 BLOCK = 32
@@ -166,7 +167,7 @@ ROUTED = "cell int, member boolean, key long, scale float, code binary"
 NEAR = "key long, others array<long>, dots array<double>"
 
 
-def _route(turn: np.ndarray, cells: np.ndarray, dim: int, probes: int):
+def _route(turn: np.ndarray, cells: np.ndarray, dim: int, probes: int, margin: float):
     schema = pa.schema([("cell", pa.int32()), ("member", pa.bool_()), ("key", pa.int64()), ("scale", pa.float32()), ("code", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +184,11 @@ def _route(turn: np.ndarray, cells: np.ndarray, dim: int, probes: int):
             n = min(probes, near.shape[1])
             top = np.argpartition(-near, n - 1, axis=1)[:, :n]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
+            score = np.take_along_axis(near, top, 1)
+            row, place = np.nonzero(score >= score[:, :1] - margin)
             data = [c.tobytes() for c in code]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(top.T.ravel(), pa.int32()), pa.array(np.repeat([True] + [False] * (n - 1), len(new))), pa.array(np.tile(key, n)), pa.array(np.tile(scale, n)), pa.array(data * n, pa.binary())], schema=schema
+                [pa.array(top[row, place], pa.int32()), pa.array(place == 0), pa.array(key[row]), pa.array(scale[row]), pa.array([data[r] for r in row], pa.binary())], schema=schema
             )
 
     return run
@@ -223,7 +226,7 @@ def _keys(turn: np.ndarray, dim: int):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = DIM, cell_rows: int = CELL_ROWS, train: int = TRAIN, probes: int = PROBES, min_rows: int = MIN_ROWS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = DIM, cell_rows: int = CELL_ROWS, train: int = TRAIN, probes: int = PROBES, margin: float = MARGIN, min_rows: int = MIN_ROWS) -> DataFrame:
     """(id, other, similarity): for every usable vector the k other ids most similar to it."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable("v", dim))
@@ -234,7 +237,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
     code, scale, key = _coded(_matrix(sample, dim), turn) if len(sample) else (np.zeros((0, dim), np.int16), np.zeros(0, np.float32), np.zeros(0, np.int64))
     once = np.unique(key, return_index=True)[1]
     cells = train_cells(code[once].astype(np.float32) * scale[once][:, None], min(MAX_CELLS, max(1, -(-total // cell_rows)), max(1, len(once) // 8)))
-    routed = rows.select("v").mapInArrow(_route(turn, cells, dim, probes), ROUTED)
+    routed = rows.select("v").mapInArrow(_route(turn, cells, dim, probes, margin), ROUTED)
     found = routed.groupBy("cell").applyInArrow(_search(dim, k), NEAR)
     # the k best classes of each class, out of at most PROBES lists of k
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("others", "dots"), lambda p: F.struct(F.round(-p["dots"], 7).alias("d"), p["others"].alias("other")))))
