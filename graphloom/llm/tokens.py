@@ -75,7 +75,8 @@ CHUNKS = "_gl_id {0}, _gl_k int, _gl_left array<int>, _gl_leftn array<int>, _gl_
 
 def _encode_chunk(encode, text: str, k: int, n: int, chunk: int, overlap: int, path: str, name: str) -> tuple:
     """Of chunk k of n: its boundaries in the two overlaps, the number of ids before each, and all ids."""
-    at = boundaries(text, path, name)
+    # after white space the end of a part would change how that space splits, so no cut is made there
+    at = [b for b in boundaries(text, path, name) if b in (0, len(text)) or not text[b - 1].isspace()]
     left = [b for b in at if b < overlap] if k else []
     # a tail shorter than the overlap lies wholly in the chunk before, whose end is that of the text
     ends = k == n - 2 and len(text) < chunk + overlap
