@@ -118,15 +118,18 @@ def _scan(queries: np.ndarray, q_keys: np.ndarray, members: np.ndarray, m_keys:
             for a in range(0, len(rows) if len(ids) else 0, 1024):
                 part = rows[a : a + 1024]
                 limit = best_d[part, -1]
-                i, j, dist = _adaptive(queries[part], members[ids], limit, blocks)
+                i, j, dist = _adaptive(queries[part], members[ids], limit, blocks, k + 1)
                 other = (q_keys[part[i]] != m_keys[ids[j]]) & (dist < limit[i])
                 i, j, dist = i[other], ids[j[other]], dist[other]
                 _merge(best_d, best_m, part, i, j, dist, k)
     return best_m, best_d
 
 
-def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slice]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, squared distance) of the pairs that no test abandons."""
+def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slice], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, squared distance) of the pairs that no test abandons; where few are, of the `keep` nearest.
+
+    keep is one more than the neighbours wanted, as a query may find itself.
+    """
     dim = q.shape[1]
     first = blocks[0]
     part = (q[:, first] ** 2).sum(1)[:, None] + (m[:, first] ** 2).sum(1)[None, :] - 2 * q[:, first] @ m[:, first].T
@@ -135,14 +138,17 @@ def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slic
     if len(i) > 0.25 * part.size:  # no threshold yet: the rest at once
         rest = slice(first.stop, dim)
         part = part + (q[:, rest] ** 2).sum(1)[:, None] + (m[:, rest] ** 2).sum(1)[None, :] - 2 * q[:, rest] @ m[:, rest].T
-        return i, j, np.maximum(part[i, j], 0)
+        n = min(keep, part.shape[1])
+        near = np.argpartition(part, n - 1, axis=1)[:, :n]
+        i = np.repeat(np.arange(len(part)), n)
+        return i, near.ravel(), np.maximum(part[i, near.ravel()], 0)
     dist = part[i, j]
     for b in blocks[1:]:
         dist = dist + ((q[i, b] - m[j, b]) ** 2).sum(1)
         seen = b.stop
         test = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else 1.0
-        keep = dist <= limit[i] * (seen / dim) * test
-        i, j, dist = i[keep], j[keep], dist[keep]
+        stay = dist <= limit[i] * (seen / dim) * test
+        i, j, dist = i[stay], j[stay], dist[stay]
     return i, j, np.maximum(dist, 0)
 
 
