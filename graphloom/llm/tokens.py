@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +151,6 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZE
 
 def decode_ids(ids: Column, path: str = TOKENIZERS, name: str = BYTE_BPE) -> Column:
     """The text of a list of ids: their bytes, concatenated; null for null."""
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def decode(lists: pd.Series) -> pd.Series:
