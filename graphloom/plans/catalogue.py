@@ -254,7 +254,7 @@ r AS (SELECT id, any_value(type) AS type, max(valid_to) AS "at" FROM v WHERE typ
 diff AS (SELECT 'added' AS change, * FROM a UNION ALL SELECT 'removed', * FROM r UNION ALL SELECT 'modified', a.* FROM a JOIN r USING (id))"""
 
 
-@query(f"{_DIFF} SELECT change, id, type, "at" FROM diff")
+@query(_DIFF + ' SELECT change, id, type, "at" FROM diff')
 def diff_since(spark, d):
     return temporal.diff_since(_versions(spark, d), AT)
 
