@@ -1,7 +1,7 @@
 """PageRank family: personalised power iteration, global rank and their blend with proximity.
 
-Edges are partitioned by source once and kept; each round shuffles only the contributions, summed
-per target before the shuffle. The lineage is cut every few rounds.
+Edges are weighed and partitioned by source once and kept; each round shuffles the ranks and the
+contributions, which are summed per target before the shuffle. The lineage is cut every few rounds.
 """
 
 from __future__ import annotations
@@ -11,25 +11,36 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
 from graphloom.model import CODE, RANK_WEIGHTS
+from graphloom.operators.skew import CELLS, MIN_ROWS, hot_keys
 from graphloom.operators.traverse import proximity, type_weight
 from graphloom.session import cut_lineage
 
 CUT_EVERY = 5
 
 
-def _shares(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(src, dst, share): each edge's part of the weight that leaves its source; parallel edges add up."""
-    e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.sum(type_weight(weights)).alias("w"))
-    total = e.groupBy("src").agg(F.sum("w").alias("t"))
-    return e.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share"))
+def _weighted(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(src, dst, w): the weight of each pair, kept; parallel edges add up."""
+    e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    return e.groupBy("src", "dst").agg(F.sum(type_weight(weights)).alias("w")).persist()
 
 
-def _iterate(nodes: DataFrame, shares: DataFrame, damping: float, rounds: int, cut_every: int = CUT_EVERY) -> DataFrame:
-    """rank' = (1 - damping) * base + damping * inflow over nodes (id, base, rank)."""
-    shares = shares.repartition("src").persist()
+def _iterate(nodes: DataFrame, weighted: DataFrame, damping: float, rounds: int, cut_every: int = CUT_EVERY, min_rows: int = MIN_ROWS) -> DataFrame:
+    """rank' = (1 - damping) * base + damping * inflow over nodes (id, base, rank).
+
+    An edge carries its part of the weight that leaves its source. Sources with many edges are
+    salted: their edges are spread by target and their rank, one row, is repeated for each salt.
+    """
+    totals = weighted.groupBy("src").agg(F.sum("w").alias("t"))
+    hot = hot_keys(weighted, "src", "w", min_rows).select(F.col("_gl_key").alias("_gl_h"), F.col(CELLS).alias("_gl_n"))
+    salts = F.coalesce("_gl_n", F.lit(1))
+    shares = weighted.join(totals, "src").join(F.broadcast(hot), F.col("src") == F.col("_gl_h"), "left")
+    shares = shares.select("src", "dst", (F.col("w") / F.col("t")).alias("share"), F.pmod(F.xxhash64("dst"), salts).cast("int").alias("_gl_salt"))
+    shares = shares.repartition("src", "_gl_salt").persist()
     ranks = nodes
     for k in range(1, rounds + 1):
-        flow = ranks.select(F.col("id").alias("src"), "rank").join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
+        sent = ranks.join(F.broadcast(hot), F.col("id") == F.col("_gl_h"), "left")
+        sent = sent.select(F.col("id").alias("src"), "rank", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_gl_salt"))
+        flow = sent.join(shares, ["src", "_gl_salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         ranks = nodes.select("id", "base").join(flow, "id", "left").select("id", "base", ((1 - damping) * F.col("base") + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
         if k % cut_every == 0 and k < rounds:
             ranks = cut_lineage(ranks)
@@ -43,12 +54,13 @@ def personalised_pagerank(graph: PropertyGraph, seeds: DataFrame, damping: float
     """
     rounds = max(1, min(100, rounds))
     starts = seeds.select("id").filter(F.col("id").isNotNull()).distinct()
-    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).filter(F.col("id").isNotNull())
+    weighted = _weighted(graph.edges, {**RANK_WEIGHTS, **(weights or {})})
+    ends = weighted.select(F.explode(F.array("src", "dst")).alias("id"))
     ids = ends.unionByName(starts).distinct().join(starts.select("id", F.lit(1.0).alias("_gl_s")), "id", "left").withColumn("_gl_1", F.lit(1))
     totals = ids.agg(F.count("*").alias("n"), F.sum("_gl_s").alias("s")).filter("s > 0").withColumn("_gl_1", F.lit(1))
     nodes = ids.join(F.broadcast(totals), "_gl_1").select("id", (F.coalesce("_gl_s", F.lit(0.0)) / F.col("s")).alias("base"), (1 / F.col("n")).alias("rank"))
     nodes = cut_lineage(nodes)
-    out = _iterate(nodes, _shares(graph.edges, {**RANK_WEIGHTS, **(weights or {})}), damping, rounds).select("id", F.round("rank", 6).alias("score"))
+    out = _iterate(nodes, weighted, damping, rounds).select("id", F.round("rank", 6).alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(max(1, min(500, limit)))
 
 
@@ -57,7 +69,7 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, rounds: int = 20) -> D
     ids = graph.nodes.select("id").distinct().withColumn("_gl_1", F.lit(1))
     n = ids.agg(F.count("*").alias("n")).withColumn("_gl_1", F.lit(1))
     nodes = cut_lineage(ids.join(F.broadcast(n), "_gl_1").select("id", (1 / F.col("n")).alias("base"), (1 / F.col("n")).alias("rank")))
-    return _iterate(nodes, _shares(graph.edges.select("src", "dst", F.lit("").alias("type")).distinct(), {}), damping, rounds).select("id", F.round("rank", 9).alias("rank"))
+    return _iterate(nodes, _weighted(graph.edges.select("src", "dst", F.lit("").alias("type")).distinct(), {}), damping, rounds).select("id", F.round("rank", 9).alias("rank"))
 
 
 def blended_rank(graph: PropertyGraph, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, limit: int = 50, ranks: DataFrame | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def min_hops(graph: PropertyGraph, seeds: DataFrame, hops: int = 3) -> DataFrame
 
     Each step is a join of the distinct frontier, so its size is bounded by the number of nodes.
     """
-    adjacent = graph.undirected().select("here", "there").distinct()
+    adjacent = graph.undirected().select("here", "there")
     frontier = seeds.select("id").filter(F.col("id").isNotNull()).distinct()
     levels = frontier.select("id", F.lit(0).alias("hops"))
     for k in range(1, hops + 1):
