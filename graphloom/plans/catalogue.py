@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.functions.vectors import code_vector, embed_code, embed_doc
 from graphloom.operators import budget, claims, community, docs, impact, layers, memory, progress, rank, retrieve, temporal, traverse
+from graphloom.plans.cypher import cypher, from_words
 from graphloom.plans.projection import GRAPH_SQL, graph_of
 from graphloom.sources.tables import table
 
@@ -804,6 +805,65 @@ def budget_greedy_fill(spark, d):
     return budget.fill(per_project, "projectId", "id", "cost", 300)
 
 
+# ---- Cypher texts; their SQL is that of the patterns
+
+
+def _cypher(spark, d, text: str, **rest) -> DataFrame:
+    return cypher(graph_of(spark, d), text, **rest)
+
+
+@query(f"{GRAPH_SQL} SELECT f.path AS \"f.path\", f.name AS name FROM gnodes f WHERE type = 'FILE' AND contains(lower(name), '0001') ORDER BY f.path LIMIT 25")
+def cypher_localisation(spark, d):
+    return _cypher(spark, d, "MATCH (f:FILE) WHERE toLower(f.name) CONTAINS '0001' RETURN f.path, f.name AS name ORDER BY f.path LIMIT 25")
+
+
+@query(f"{GRAPH_SQL} SELECT a.dst AS callee, count(DISTINCT a.src) AS callers FROM gedges a WHERE type = 'CALLS_TO' GROUP BY a.dst HAVING count(DISTINCT a.src) > 3")
+def cypher_behaviour(spark, d):
+    return _cypher(spark, d, "MATCH (a:FUNCTION)-[:CALLS_TO]->(b:FUNCTION) WITH b, count(DISTINCT a) AS callers WHERE callers > 3 RETURN b.id AS callee, callers")
+
+
+@query(f"{GRAPH_SQL} SELECT DISTINCT i.src AS importer FROM gedges r JOIN gedges i ON i.dst = r.src AND i.type = 'IMPORTS' WHERE r.type = 'REFERENCES' AND r.dst = 'p:1'")
+def cypher_impact(spark, d):
+    return _cypher(spark, d, "MATCH (f:FUNCTION {id: $id})<-[:REFERENCES]-(i:IMPORT)<-[:IMPORTS]-(g:FILE) RETURN DISTINCT g.id AS importer", params={"id": "p:1"})
+
+
+@query(f"{GRAPH_SQL} SELECT n.id FROM gnodes n WHERE type IN ('FUNCTION', 'FILE') AND NOT EXISTS (SELECT 1 FROM gedges WHERE type = 'TESTS' AND dst = n.id)")
+def cypher_coverage(spark, d):
+    return _cypher(spark, d, "MATCH (fn) WHERE (fn:FUNCTION OR fn:FILE) AND NOT (fn)<-[:TESTS]-() RETURN fn.id AS id")
+
+
+@query(f"""{GRAPH_SQL} SELECT n.name AS nation, count(DISTINCT c.dst) AS files, count(DISTINCT o.dst) AS imports FROM gnodes n LEFT JOIN gedges c ON c.src = n.id AND c.type = 'CONTAINS' AND c.dst LIKE 'c:%'
+LEFT JOIN gedges o ON o.src = c.dst AND o.type = 'IMPORTS' WHERE n.type = 'FOLDER' AND n.id LIKE 'n:%' GROUP BY n.id, n.name""")
+def cypher_traceability(spark, d):
+    text = "MATCH (n:FOLDER) WHERE n.id STARTS WITH 'n:' OPTIONAL MATCH (n)-[:CONTAINS]->(c:FILE) OPTIONAL MATCH (c)-[:IMPORTS]->(o:IMPORT) RETURN n.name AS nation, count(DISTINCT c) AS files, count(DISTINCT o) AS imports"
+    return _cypher(spark, d, text)
+
+
+@query(f"{GRAPH_SQL} SELECT DISTINCT a.src AS a, a.dst AS b FROM gedges a JOIN gedges b ON a.src = b.dst AND a.dst = b.src AND a.type = 'CALLS_TO' AND b.type = 'CALLS_TO' WHERE a.src < a.dst")
+def cypher_cycle(spark, d):
+    return _cypher(spark, d, "MATCH (a:FUNCTION)-[:CALLS_TO]->(b:FUNCTION)-[:CALLS_TO]->(a) WHERE a.id < b.id RETURN DISTINCT a.id AS a, b.id AS b")
+
+
+@query(f"{_HOPS} SELECT id, hops FROM near WHERE hops > 0")
+def cypher_variable_length(spark, d):
+    return _cypher(spark, d, f"UNWIND ['{SEED}'] AS seed MATCH (s {{id: seed}}) MATCH p = (s)-[*1..3]-(n) WHERE n.id <> seed AND (n:FILE OR n:FUNCTION OR n:CLASS) RETURN n.id AS id, min(length(p)) AS hops")
+
+
+@query(f"{GRAPH_SQL} SELECT src AS id FROM gedges WHERE type = 'CALLS_TO' AND dst = '{SEED}' UNION SELECT src FROM gedges WHERE type = 'TESTS' AND dst = '{SEED}'")
+def cypher_union(spark, d):
+    return _cypher(spark, d, f"MATCH (a)-[:CALLS_TO]->(b {{id: '{SEED}'}}) RETURN a.id AS id UNION MATCH (a)-[:TESTS]->(b {{id: '{SEED}'}}) RETURN a.id AS id")
+
+
+@query(f"{GRAPH_SQL} SELECT count(*) AS n, count(*) FILTER (i.valid_to IS NULL) AS current FROM gedges e JOIN gnodes i ON i.id = e.dst WHERE e.type = 'IMPORTS' AND i.valid_from <= {ORDER_AT} AND (i.valid_to IS NULL OR i.valid_to > {ORDER_AT})")
+def cypher_as_of(spark, d):
+    return _cypher(spark, d, "MATCH (f:FILE)-[:IMPORTS]->(i:IMPORT) WHERE i.validTo IS NULL OR i.validTo > 0 RETURN count(*) AS n, count(CASE WHEN i.validTo IS NULL THEN 1 END) AS current", as_of=ORDER_AT, project="demo")
+
+
+@query(f"{GRAPH_SQL} SELECT type, count(*) AS count FROM gnodes GROUP BY type")
+def cypher_from_words(spark, d):
+    return _cypher(spark, d, from_words("how many nodes are there?"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return rrf_hybrid(spark, folder)
 
