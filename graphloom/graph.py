@@ -43,14 +43,14 @@ class PropertyGraph:
         nodes = self.nodes.filter(F.lower("project_id") == project.lower())
         ids = nodes.select("id")
         edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return PropertyGraph(nodes, edges)
+        return PropertyGraph(nodes, edges.select(*self.edges.columns))
 
     def as_of(self, at: int) -> PropertyGraph:
         """The nodes valid at an instant and the edges between them."""
         nodes = self.nodes.filter(alive_at(at))
         ids = nodes.select("id")
         edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return PropertyGraph(nodes, edges)
+        return PropertyGraph(nodes, edges.select(*self.edges.columns))
 
     def hop(self, left: DataFrame, on: str, types: Sequence[str], to: str, reverse: bool = False) -> DataFrame:
         """left with column `to`: the other ends of edges of the types from left's column `on`."""

@@ -77,7 +77,7 @@ def file_dependencies(graph: PropertyGraph) -> DataFrame:
     direct = graph.edges_of("IMPORTS", "DEPENDS_ON").select("src", "dst")
     through = graph.edges_of("IMPORTS").select("src", F.col("dst").alias("_gl_i")).join(graph.edges_of("REFERENCES").select(F.col("src").alias("_gl_j"), "dst"), F.col("_gl_i") == F.col("_gl_j")).select("src", "dst")
     both = direct.unionByName(through).distinct()
-    return both.join(files.withColumnRenamed("id", "src"), "src", "left_semi").join(files.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return both.join(files.withColumnRenamed("id", "src"), "src", "left_semi").join(files.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def two_cycles(pairs: DataFrame) -> DataFrame:

@@ -348,7 +348,7 @@ class Frame:
         if p.distinct:
             df = df.distinct()
         if hidden:
-            visible = [c for c in df.columns if not c.startswith("_gl_o")]
+            visible = [f.name for f in df.schema.fields if not f.name.startswith("_gl_o") and "map<" not in f.dataType.simpleString()]
             ties = [F.col(_quoted(c)) for c in visible] if p.limit is not None or p.skip is not None else []
             df = df.orderBy(*[c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in hidden], *ties)
         if p.skip is not None:
