@@ -185,25 +185,23 @@ def known_at_event(
         F.col(event_id).cast("string").alias("_gl_text"),
     ).filter(F.col("_gl_id").isNotNull() & F.col("_gl_a").isNotNull() & F.col("_gl_b").isNotNull())
     hot_reports = hot_keys(rep, "_gl_id", "_gl_b", min_rows)
-    hot_events = hot_keys(ev, "_gl_id", "_gl_b", min_rows).select(F.col("_gl_key").alias("_gl_ek"), F.col(CELLS).alias("_gl_salts"))
-    celled = with_cells(rep, hot_reports, "_gl_id", "_gl_b")
-    # first recording of each cell of a hot key: at most HOT_KEYS arrays of MAX_CELLS entries
-    first = celled.filter(F.col(CELLS) > 1).groupBy("_gl_id", CELL).agg(F.min("_gl_a").alias("tx"))
-    first = first.groupBy(F.col("_gl_id").alias("_gl_fk")).agg(F.collect_list(F.struct(F.col(CELL).alias("cell"), "tx")).alias("_gl_first"))
-    salts = F.coalesce("_gl_salts", F.lit(1))
-    left = (
-        celled.join(F.broadcast(hot_events), F.col("_gl_id") == F.col("_gl_ek"), "left")
-        .withColumn("_gl_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .select(F.col("_gl_id").alias("_gl_key"), CELL, "_gl_salt", F.lit(0).alias("_gl_kind"), "_gl_a", "_gl_b", "_gl_text", "_gl_removed")
-    )
-    own = with_cells(ev, hot_reports, "_gl_id", "_gl_b").join(F.broadcast(first), F.col("_gl_id") == F.col("_gl_fk"), "left")
-    earlier = F.array_max(F.transform(F.filter("_gl_first", lambda c: (c["cell"] < F.col(CELL)) & (c["tx"] <= F.col("_gl_a"))), lambda c: c["cell"]))
-    asked = F.array_compact(F.array(F.col(CELL), earlier))
-    right = (
-        own.join(F.broadcast(hot_events), F.col("_gl_id") == F.col("_gl_ek"), "left")
-        .withColumn("_gl_at", F.explode(asked))
-        .select(F.col("_gl_id").alias("_gl_key"), F.col("_gl_at").alias(CELL), F.pmod(F.xxhash64("_gl_text", "_gl_a"), salts).cast("int").alias("_gl_salt"), F.lit(1).alias("_gl_kind"), "_gl_a", "_gl_b", "_gl_text", F.lit(False).alias("_gl_removed"))
-    )
+    hot_events = hot_keys(ev, "_gl_id", "_gl_b", min_rows)
+    columns = [F.col("_gl_id").alias("_gl_key"), CELL, "_gl_salt", "_gl_kind", "_gl_a", "_gl_b", "_gl_text", "_gl_removed"]
+    celled = with_cells(rep, hot_reports, "_gl_id", "_gl_b").withColumns({"_gl_kind": F.lit(0), "_gl_salt": F.lit(0)})
+    asking = with_cells(ev, hot_reports, "_gl_id", "_gl_b").withColumns({"_gl_kind": F.lit(1), "_gl_salt": F.lit(0), "_gl_removed": F.lit(False)})
+    if hot_reports:
+        # first recording of each cell of a hot key: at most HOT_KEYS arrays of MAX_CELLS entries
+        first = celled.filter(F.col(CELLS) > 1).groupBy("_gl_id", CELL).agg(F.min("_gl_a").alias("tx"))
+        first = first.groupBy(F.col("_gl_id").alias("_gl_fk")).agg(F.collect_list(F.struct(F.col(CELL).alias("cell"), "tx")).alias("_gl_first"))
+        asking = asking.join(F.broadcast(first), F.col("_gl_id") == F.col("_gl_fk"), "left")
+        earlier = F.array_max(F.transform(F.filter("_gl_first", lambda c: (c["cell"] < F.col(CELL)) & (c["tx"] <= F.col("_gl_a"))), lambda c: c["cell"]))
+        asking = asking.withColumn(CELL, F.explode(F.array_compact(F.array(F.col(CELL), earlier))))
+    if hot_events:
+        salts = F.broadcast(hot_events.table().select(F.col("_gl_key").alias("_gl_ek"), F.col(CELLS).alias("_gl_salts")))
+        n = F.coalesce("_gl_salts", F.lit(1))
+        celled = celled.join(salts, F.col("_gl_id") == F.col("_gl_ek"), "left").withColumn("_gl_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+        asking = asking.join(salts, F.col("_gl_id") == F.col("_gl_ek"), "left").withColumn("_gl_salt", F.pmod(F.xxhash64("_gl_text", "_gl_a"), n).cast("int"))
+    left, right = celled.select(*columns), asking.select(*columns)
     both = left.unionByName(right).repartition("_gl_key", CELL, "_gl_salt")
     found = both.sortWithinPartitions("_gl_key", CELL, "_gl_salt", "_gl_kind", "_gl_a", "_gl_b", "_gl_text").mapInArrow(_locate, OUT_SQL)
     # one row per event and key: repeated events agree, of two cells the later version counts

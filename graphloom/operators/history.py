@@ -51,14 +51,14 @@ def version_history(
         F.when(~F.coalesce(removed, F.lit(False)), _attribute_hash(attributes)).alias("_gl_h"),
         F.struct(*[F.col(a).alias(n) for a, n in zip(attributes, names)]).alias("_gl_attr"),
     ).filter(F.col("_gl_id").isNotNull() & F.col("_gl_t").isNotNull())
-    rows = with_cells(rows, hot_keys(rows, "_gl_id", "_gl_t", min_rows), "_gl_id", "_gl_t")
+    hot = hot_keys(rows, "_gl_id", "_gl_t", min_rows)
+    rows = with_cells(rows, hot, "_gl_id", "_gl_t")
     part = Window.partitionBy("_gl_id", CELL)
     by_time = part.orderBy("_gl_t", "_gl_tx", "_gl_tie")
     # the last report of each instant replaces the others
     rows = rows.withColumn("_gl_nextt", F.lead("_gl_t").over(by_time))
     rows = rows.filter(F.col("_gl_nextt").isNull() | (F.col("_gl_nextt") > F.col("_gl_t")))
     rows = rows.withColumn("_gl_pos", (F.row_number().over(by_time) - 1).cast("long"))
-    edges = _cell_edges(rows)
     words = (
         rows.filter(F.col("_gl_h").isNotNull())
         .groupBy("_gl_id", CELL, "_gl_h", F.expr(f"_gl_pos div {WORD}").alias("_gl_word"))
@@ -96,7 +96,10 @@ def version_history(
         F.first("_gl_attr").alias("_gl_attr"),
         F.max(CELLS).alias(CELLS),
     )
-    whole = cellwise.filter(F.col(CELLS) == 1).unionByName(_stitched(cellwise.filter(F.col(CELLS) > 1), edges), allowMissingColumns=True)
+    whole = cellwise
+    if hot:
+        stitched = _stitched(cellwise.filter(F.col(CELLS) > 1), _cell_edges(rows))
+        whole = cellwise.filter(F.col(CELLS) == 1).unionByName(stitched, allowMissingColumns=True)
     return whole.select(
         F.col("_gl_id").alias(entity),
         *[F.col(f"_gl_attr.{n}").alias(a) for a, n in zip(attributes, names)],

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.skew import CELL, MIN_ROWS, carried, hot_keys, with_cells
+from graphloom.operators.skew import CELL, MIN_ROWS, HotKeys, carried, hot_keys, with_cells
 
 OPEN = 9223372036854775807
 
 
-def _swept(df: DataFrame, key: str, start: str, end: str, row_id: str | None, min_rows: int) -> DataFrame:
+def _swept(df: DataFrame, key: str, start: str, end: str, row_id: str | None, min_rows: int) -> tuple[DataFrame, HotKeys]:
     """Valid intervals with _gl_prev, the greatest end of all earlier intervals of the key."""
     rows = df.select(
         F.col(key).alias("_gl_id"),
@@ -29,7 +29,8 @@ def _swept(df: DataFrame, key: str, start: str, end: str, row_id: str | None, mi
         F.col(end).cast("long").alias("_gl_e"),
         (F.col(row_id).cast("string") if row_id else F.lit(None).cast("string")).alias("_gl_row"),
     ).filter(F.col("_gl_id").isNotNull() & F.col("_gl_s").isNotNull())
-    rows = with_cells(rows, hot_keys(rows, "_gl_id", "_gl_s", min_rows), "_gl_id", "_gl_s")
+    hot = hot_keys(rows, "_gl_id", "_gl_s", min_rows)
+    rows = with_cells(rows, hot, "_gl_id", "_gl_s")
     order = Window.partitionBy("_gl_id", CELL).orderBy("_gl_s", "_gl_row", F.desc_nulls_last("_gl_e"))
     # deliveries of one row share key, start and id, so they are neighbours; the first has the end
     rows = rows.withColumn("_gl_last", F.lag(F.struct("_gl_row", "_gl_s")).over(order))
@@ -37,23 +38,23 @@ def _swept(df: DataFrame, key: str, start: str, end: str, row_id: str | None, mi
     rows = rows.filter(~again & (F.col("_gl_e").isNull() | (F.col("_gl_e") > F.col("_gl_s"))))
     rows = rows.withColumn("_gl_e", F.coalesce("_gl_e", F.lit(OPEN))).drop("_gl_last")
     within = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = carried(rows.withColumn("_gl_in", F.max("_gl_e").over(within)), "_gl_id", F.col("_gl_e"), "_gl_carry")
-    return rows.withColumn("_gl_prev", F.greatest("_gl_in", "_gl_carry")).drop("_gl_in", "_gl_carry")
+    rows = carried(rows.withColumn("_gl_in", F.max("_gl_e").over(within)), hot, "_gl_id", F.col("_gl_e"), "_gl_carry")
+    return rows.withColumn("_gl_prev", F.greatest("_gl_in", "_gl_carry")).drop("_gl_in", "_gl_carry"), hot
 
 
 def gaps(df: DataFrame, key: str, start: str, end: str, row_id: str | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """(key, gapFrom, gapTo): each maximal stretch between two periods in which no interval lies."""
-    rows = _swept(df, key, start, end, row_id, min_rows).filter(F.col("_gl_s") > F.col("_gl_prev"))
+    rows = _swept(df, key, start, end, row_id, min_rows)[0].filter(F.col("_gl_s") > F.col("_gl_prev"))
     return rows.select(F.col("_gl_id").alias(key), F.col("_gl_prev").alias("gapFrom"), F.col("_gl_s").alias("gapTo"))
 
 
 def periods(df: DataFrame, key: str, start: str, end: str, row_id: str | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """(key, periodFrom, periodTo, intervals): the continuous periods; periodTo is null if still open."""
-    rows = _swept(df, key, start, end, row_id, min_rows)
+    rows, hot = _swept(df, key, start, end, row_id, min_rows)
     opens = F.when(F.col("_gl_prev").isNull() | (F.col("_gl_s") > F.col("_gl_prev")), F.col("_gl_s"))
     rows = rows.withColumn("_gl_open", opens)
     order = Window.partitionBy("_gl_id", CELL).orderBy("_gl_s", "_gl_row", F.desc_nulls_last("_gl_e"))
-    rows = carried(rows.withColumn("_gl_in", F.max("_gl_open").over(order.rowsBetween(Window.unboundedPreceding, 0))), "_gl_id", F.col("_gl_open"), "_gl_carry")
+    rows = carried(rows.withColumn("_gl_in", F.max("_gl_open").over(order.rowsBetween(Window.unboundedPreceding, 0))), hot, "_gl_id", F.col("_gl_open"), "_gl_carry")
     island = rows.groupBy(F.col("_gl_id").alias(key), F.greatest("_gl_in", "_gl_carry").alias("periodFrom"))
     out = island.agg(F.max("_gl_e").alias("_gl_to"), F.count("*").alias("intervals"))
     return out.select(key, "periodFrom", F.when(F.col("_gl_to") < OPEN, F.col("_gl_to")).alias("periodTo"), "intervals")

@@ -30,16 +30,21 @@ def month(ms) -> F.Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM")
 
 
-def _heavy(refs: DataFrame, targets: DataFrame, min_rows: int) -> DataFrame:
-    """(_gl_hk, _gl_lives): at most HOT_KEYS heavy keys with at most FEW target rows each."""
+def _heavy(refs: DataFrame, targets: DataFrame, min_rows: int) -> list[tuple[str, list[tuple[int, int]] | None]]:
+    """At most HOT_KEYS heavy keys with their target rows (None without any), where these are at most FEW."""
     counts = refs.groupBy("_gl_ref", month(F.col("_gl_t")).alias("m")).agg(F.count("*").alias("n")).groupBy("_gl_ref").agg(F.sum("n").alias("n"))
-    keys = counts.filter(F.col("n") > min_rows).orderBy(F.desc("n"), "_gl_ref").limit(HOT_KEYS).select(F.col("_gl_ref").alias("_gl_hk"))
-    lives = targets.join(F.broadcast(keys), F.col("_gl_ref") == F.col("_gl_hk"), "left_semi")
-    many = lives.groupBy("_gl_ref").agg(F.count("*").alias("n")).filter(F.col("n") > FEW)
-    keys = keys.join(F.broadcast(many), F.col("_gl_hk") == F.col("_gl_ref"), "left_anti")
-    few = lives.join(F.broadcast(many.select(F.col("_gl_ref").alias("_gl_m"))), F.col("_gl_ref") == F.col("_gl_m"), "left_anti")
-    per_key = few.groupBy("_gl_ref").agg(F.collect_set(F.struct(F.col("_gl_t").alias("a"), F.col("_gl_end").alias("z"))).alias("_gl_lives"))
-    return keys.join(F.broadcast(per_key), F.col("_gl_hk") == F.col("_gl_ref"), "left").select("_gl_hk", "_gl_lives")
+    keys = [r[0] for r in counts.filter(F.col("n") > min_rows).orderBy(F.desc("n"), "_gl_ref").limit(HOT_KEYS).select("_gl_ref").collect()]
+    if not keys:
+        return []
+    wanted = F.broadcast(refs.sparkSession.createDataFrame([(k,) for k in keys], "_gl_hk string"))
+    lives = targets.join(wanted, F.col("_gl_ref") == F.col("_gl_hk"), "left_semi").select("_gl_ref", "_gl_t", "_gl_end")
+    sizes = {r[0]: r[1] for r in lives.groupBy("_gl_ref").agg(F.count("*").alias("n")).collect()}  # at most HOT_KEYS rows
+    few = [k for k in keys if sizes.get(k, 0) <= FEW]
+    some = F.broadcast(refs.sparkSession.createDataFrame([(k,) for k in few], "_gl_fk string"))
+    per: dict[str, list[tuple[int, int]]] = {}
+    for k, a, z in lives.join(some, F.col("_gl_ref") == F.col("_gl_fk"), "left_semi").collect():  # at most HOT_KEYS * FEW rows
+        per.setdefault(k, []).append((a, z))
+    return [(k, per.get(k)) for k in few]
 
 
 def dangling_references(refs: DataFrame, targets: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -52,43 +57,43 @@ def dangling_references(refs: DataFrame, targets: DataFrame, min_rows: int = MIN
     refs = refs.filter(F.col("_gl_ref").isNotNull() & (F.col("_gl_ref") != ""))
     targets = targets.select(F.col("id").cast("string").alias("_gl_ref"), F.col("begins").cast("long").alias("_gl_t"), F.coalesce(F.col("ends").cast("long"), F.lit(OPEN)).alias("_gl_end"))
     targets = targets.filter(F.col("_gl_ref").isNotNull() & F.col("_gl_t").isNotNull())
-    heavy = F.broadcast(_heavy(refs, targets, min_rows))
-
+    heavy = _heavy(refs, targets, min_rows)
     t = F.col("_gl_t")
-    begun = F.filter("_gl_lives", lambda x: x["a"] <= t)
-    of_heavy = (
-        F.when(F.col("_gl_lives").isNull(), "missing")
-        .when(t.isNull() | F.exists(begun, lambda x: x["z"] > t), F.lit(None))
-        .when(F.size(begun) == 0, "late")
-        .otherwise("deleted")
-    )
-    checked = refs.join(heavy, F.col("_gl_ref") == F.col("_gl_hk")).withColumn("reason", of_heavy).filter(F.col("reason").isNotNull())
-
-    rest = refs.join(heavy, F.col("_gl_ref") == F.col("_gl_hk"), "left_anti")
-    theirs = targets.join(heavy, F.col("_gl_ref") == F.col("_gl_hk"), "left_anti")
+    columns = [F.col("_gl_table").alias("tableName"), F.col("_gl_row").alias("rowId"), F.col("_gl_ref").alias("refId"), t.alias("refTime"), "reason"]
+    rest, theirs, checked = refs, targets, None
+    if heavy:
+        known = F.broadcast(refs.sparkSession.createDataFrame(heavy, "_gl_hk string, _gl_lives array<struct<a:long,z:long>>"))
+        begun = F.filter("_gl_lives", lambda x: x["a"] <= t)
+        of_heavy = (
+            F.when(F.col("_gl_lives").isNull(), "missing")
+            .when(t.isNull() | F.exists(begun, lambda x: x["z"] > t), F.lit(None))
+            .when(F.size(begun) == 0, "late")
+            .otherwise("deleted")
+        )
+        checked = refs.join(known, F.col("_gl_ref") == F.col("_gl_hk")).withColumn("reason", of_heavy).filter(F.col("reason").isNotNull()).select(*columns)
+        rest = refs.join(known, F.col("_gl_ref") == F.col("_gl_hk"), "left_anti")
+        theirs = targets.join(known, F.col("_gl_ref") == F.col("_gl_hk"), "left_anti")
     null = F.lit(None)
     merged = theirs.select("_gl_ref", "_gl_t", "_gl_end", F.lit(0).alias("_gl_kind"), null.cast("string").alias("_gl_table"), null.cast("string").alias("_gl_row")).unionByName(
         rest.select("_gl_ref", "_gl_t", null.cast("long").alias("_gl_end"), F.lit(1).alias("_gl_kind"), "_gl_table", "_gl_row")
     )
-    merged = with_cells(merged, hot_keys(merged, "_gl_ref", "_gl_t", min_rows), "_gl_ref", "_gl_t")
+    hot = hot_keys(merged, "_gl_ref", "_gl_t", min_rows)
+    merged = with_cells(merged, hot, "_gl_ref", "_gl_t")
     order = Window.partitionBy("_gl_ref", CELL).orderBy(F.asc_nulls_first("_gl_t"), "_gl_kind")
     merged = merged.withColumns({
         "_gl_in": F.max("_gl_end").over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "_gl_any": F.max(F.col("_gl_end").isNotNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
-    merged = carried(merged, "_gl_ref", F.col("_gl_end"), "_gl_carry")
-    anywhere = merged.filter((F.col(CELLS) > 1) & F.col("_gl_end").isNotNull()).select(F.col("_gl_ref").alias("_gl_there")).distinct()  # hot keys only
-    merged = merged.filter(F.col("_gl_kind") == 1).join(F.broadcast(anywhere), F.col("_gl_ref") == F.col("_gl_there"), "left")
+    merged = carried(merged, hot, "_gl_ref", F.col("_gl_end"), "_gl_carry")
+    there = F.col("_gl_any")
+    if hot:
+        anywhere = merged.filter((F.col(CELLS) > 1) & F.col("_gl_end").isNotNull()).select(F.col("_gl_ref").alias("_gl_there")).distinct()  # hot keys only
+        merged = merged.join(F.broadcast(anywhere), F.col("_gl_ref") == F.col("_gl_there"), "left")
+        there = there | F.col("_gl_there").isNotNull()
     end = F.greatest("_gl_in", "_gl_carry")
-    of_rest = (
-        F.when(~(F.col("_gl_any") | F.col("_gl_there").isNotNull()), "missing")
-        .when(t.isNull() | (end > t), F.lit(None))
-        .when(end.isNull(), "late")
-        .otherwise("deleted")
-    )
-    swept = merged.withColumn("reason", of_rest).filter(F.col("reason").isNotNull())
-    columns = [F.col("_gl_table").alias("tableName"), F.col("_gl_row").alias("rowId"), F.col("_gl_ref").alias("refId"), t.alias("refTime"), "reason"]
-    return checked.select(*columns).unionByName(swept.select(*columns)).distinct()
+    of_rest = F.when(~there, "missing").when(t.isNull() | (end > t), F.lit(None)).when(end.isNull(), "late").otherwise("deleted")
+    swept = merged.filter(F.col("_gl_kind") == 1).withColumn("reason", of_rest).filter(F.col("reason").isNotNull()).select(*columns)
+    return (swept if checked is None else swept.unionByName(checked)).distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

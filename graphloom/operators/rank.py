@@ -31,15 +31,17 @@ def _iterate(nodes: DataFrame, weighted: DataFrame, damping: float, rounds: int,
     salted: their edges are spread by target and their rank, one row, is repeated for each salt.
     """
     totals = weighted.groupBy("src").agg(F.sum("w").alias("t"))
-    hot = hot_keys(weighted, "src", "w", min_rows).select(F.col("_gl_key").alias("_gl_h"), F.col(CELLS).alias("_gl_n"))
-    salts = F.coalesce("_gl_n", F.lit(1))
-    shares = weighted.join(totals, "src").join(F.broadcast(hot), F.col("src") == F.col("_gl_h"), "left")
-    shares = shares.select("src", "dst", (F.col("w") / F.col("t")).alias("share"), F.pmod(F.xxhash64("dst"), salts).cast("int").alias("_gl_salt"))
+    shares = weighted.join(totals, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share"), F.lit(0).alias("_gl_salt"))
+    hot = hot_keys(weighted, "src", "w", min_rows)
+    if hot:
+        salts, n = F.broadcast(hot.table().select(F.col("_gl_key").alias("_gl_h"), F.col(CELLS).alias("_gl_n"))), F.coalesce("_gl_n", F.lit(1))
+        shares = shares.join(salts, F.col("src") == F.col("_gl_h"), "left").select("src", "dst", "share", F.pmod(F.xxhash64("dst"), n).cast("int").alias("_gl_salt"))
     shares = shares.repartition("src", "_gl_salt").persist()
     ranks = nodes
     for k in range(1, rounds + 1):
-        sent = ranks.join(F.broadcast(hot), F.col("id") == F.col("_gl_h"), "left")
-        sent = sent.select(F.col("id").alias("src"), "rank", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_gl_salt"))
+        sent = ranks.select(F.col("id").alias("src"), "rank", F.lit(0).alias("_gl_salt"))
+        if hot:
+            sent = sent.join(salts, F.col("src") == F.col("_gl_h"), "left").select("src", "rank", F.explode(F.sequence(F.lit(0), n - 1)).alias("_gl_salt"))
         flow = sent.join(shares, ["src", "_gl_salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         ranks = nodes.select("id", "base").join(flow, "id", "left").select("id", "base", ((1 - damping) * F.col("base") + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
         if k % cut_every == 0 and k < rounds:

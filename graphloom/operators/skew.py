@@ -2,13 +2,18 @@
 
 A key with more than `min_rows` rows is cut along its order column into at most MAX_CELLS cells of
 equal width. Only the HOT_KEYS largest keys can matter: any other key holds less than 1/HOT_KEYS of
-all rows. Hence the table of hot keys has at most HOT_KEYS rows and may be broadcast at any scale.
+all rows. So the hot keys are at most HOT_KEYS rows, at any scale. They are looked up when a plan is
+built, by one pre-aggregated pass over key and order column; where there are none, the plan has no
+part for them at all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_KEYS = 1024
@@ -18,40 +23,65 @@ MIN_ROWS = 50_000
 CELL, CELLS = "_gl_cell", "_gl_cells"
 
 
-def hot_keys(df: DataFrame, key: str, order: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """At most HOT_KEYS rows (_gl_key, _gl_lo, _gl_width, _gl_cells) for the keys above min_rows."""
+@dataclass(frozen=True)
+class HotKeys:
+    """At most HOT_KEYS keys with the origin, width and number of their cells."""
+
+    rows: list[tuple]
+    schema: T.StructType
+    like: DataFrame
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+    def table(self) -> DataFrame:
+        """(_gl_key, _gl_lo, _gl_width, _gl_cells), to be broadcast."""
+        return self.like.sparkSession.createDataFrame(self.rows, self.schema)
+
+
+def hot_keys(df: DataFrame, key: str, order: str, min_rows: int = MIN_ROWS) -> HotKeys:
+    """The keys above min_rows, largest first."""
+    n = F.count("*")
     stats = (
         df.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("_gl_key"))
-        .agg(F.count("*").alias("_gl_n"), F.min(order).alias("_gl_lo"), F.max(order).alias("_gl_hi"))
+        .agg(n.alias("_gl_n"), F.min(order).cast("double").alias("_gl_lo"), F.max(order).cast("double").alias("_gl_hi"))
         .filter(F.col("_gl_n") > min_rows)
         .orderBy(F.desc("_gl_n"), "_gl_key")
         .limit(HOT_KEYS)
     )
-    cells = F.least(F.lit(MAX_CELLS), F.ceil(F.col("_gl_n") / min_rows).cast("int"))
-    # greatest(1, .): all rows at one instant give a single cell of width 1
-    width = F.greatest(F.lit(1.0), (F.col("_gl_hi") - F.col("_gl_lo") + 1) / cells)
-    return stats.select("_gl_key", F.coalesce("_gl_lo", F.lit(0)).alias("_gl_lo"), F.coalesce(width, F.lit(1.0)).alias("_gl_width"), cells.alias(CELLS))
+    schema = T.StructType([T.StructField("_gl_key", df.schema[key].dataType), T.StructField("_gl_lo", T.DoubleType()), T.StructField("_gl_width", T.DoubleType()), T.StructField(CELLS, T.IntegerType())])
+    rows = []
+    for k, count, lo, hi in stats.collect():  # at most HOT_KEYS rows
+        cells = min(MAX_CELLS, -(-count // min_rows))
+        lo = 0.0 if lo is None else lo
+        # all rows at one instant give a single cell of width 1
+        rows.append((k, lo, max(1.0, ((hi if hi is not None else lo) - lo + 1) / cells), cells))
+    return HotKeys(rows, schema, df)
 
 
 def cell_of(order: str) -> Column:
-    """The cell of an order value, given the joined columns of hot_keys; 0 for ordinary keys."""
+    """The cell of an order value, given the joined columns of a hot key; 0 for ordinary keys."""
     at = F.floor((F.col(order) - F.col("_gl_lo")) / F.col("_gl_width")).cast("int")
     return F.coalesce(F.greatest(F.lit(0), F.least(F.col(CELLS) - 1, at)), F.lit(0))
 
 
-def with_cells(df: DataFrame, hot: DataFrame, key: str, order: str) -> DataFrame:
-    """df with _gl_cell and _gl_cells; hot is broadcast (at most HOT_KEYS rows)."""
-    joined = df.join(F.broadcast(hot), F.col(key) == F.col("_gl_key"), "left")
+def with_cells(df: DataFrame, hot: HotKeys, key: str, order: str) -> DataFrame:
+    """df with _gl_cell and _gl_cells."""
+    if not hot:
+        return df.withColumns({CELL: F.lit(0), CELLS: F.lit(1)})
+    joined = df.join(F.broadcast(hot.table()), F.col(key) == F.col("_gl_key"), "left")
     return joined.withColumn(CELL, cell_of(order)).withColumn(CELLS, F.coalesce(CELLS, F.lit(1))).drop("_gl_key", "_gl_lo", "_gl_width")
 
 
-def carried(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """df with column `name`: the maximum of value in all earlier cells of the key (null in the first).
+def carried(df: DataFrame, hot: HotKeys, key: str, value: Column, name: str) -> DataFrame:
+    """df with column `name`: the maximum of value (BIGINT) in all earlier cells of the key, null in the first.
 
     Only hot keys have several cells, so the summary has at most HOT_KEYS * MAX_CELLS rows and the
     window over it at most MAX_CELLS rows a key.
     """
+    if not hot:
+        return df.withColumn(name, F.lit(None).cast("long"))
     before = Window.partitionBy("_gl_k").orderBy("_gl_c").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         df.filter(F.col(CELLS) > 1)
