@@ -14,7 +14,9 @@ from graphloom.functions.vectors import code_vector, embed_code, embed_doc
 from graphloom.operators import budget, claims, community, docs, impact, layers, memory, progress, rank, retrieve, temporal, traverse
 from graphloom.plans.cypher import cypher, from_words
 from graphloom.plans.projection import GRAPH_SQL, graph_of
+from graphloom.sources import build, code, imports
 from graphloom.sources.tables import table
+from graphloom.streaming import changes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -682,6 +684,66 @@ def checklist_tasks(spark, d):
     return docs.checklist_tasks(table(spark, d, "documents").select(F.coalesce("relativePath", F.col("doc_id").cast("string")).alias("relative_path"), "text"))
 
 
+# ---- parsing and ids
+
+
+def _snippets(spark, d):
+    """The fenced code of documents, as source files by their language."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(docs.fences(F.replace("text", F.lit("\r"), F.lit("")))).alias("k", "f"))
+    names = F.create_map(*[F.lit(x) for pair in {"ts": "typescript", "js": "javascript", "python": "python", "py": "python", "go": "go", "rust": "rust", "java": "java"}.items() for x in pair])
+    path = F.concat(F.lit("snippets/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("k").cast("string"), F.lit("."), "f.lang")
+    return t.select(path.alias("relative_path"), F.col("f.code").alias("text"), F.element_at(names, F.lower("f.lang")).alias("language")).filter("language is not null")
+
+
+@query()
+def code_symbols(spark, d):
+    """The symbols of all fenced code."""
+    return code.symbols(_snippets(spark, d))
+
+
+@query()
+def code_graph_census(spark, d):
+    """Nodes by label of the graph of all fenced code."""
+    return traverse.census(build.code_graph(_snippets(spark, d), "demo", 0).nodes)
+
+
+@query()
+def code_import_sources(spark, d):
+    return imports.import_sources(_snippets(spark, d))
+
+
+@query()
+def document_graph_census(spark, d):
+    """Edges by type of the graph of all documents as markdown files."""
+    files = table(spark, d, "documents").select(F.coalesce("relativePath", F.col("doc_id").cast("string")).alias("relative_path"), "text")
+    return traverse.census(build.document_graph(files, _versions(spark, d), "demo", 0).edges)
+
+
+@query("""SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point FROM (SELECT DISTINCT id, sha256(id) AS h FROM code_embeddings)""")
+def vector_point_ids(spark, d):
+    return table(spark, d, "code_embeddings").select("id", X.point_id(F.col("id")).alias("point")).distinct()
+
+
+@query()
+def text_hashes(spark, d):
+    """The 32-bit hashes of section ids, and the project ids of their documents' paths."""
+    return table(spark, d, "sections").select("id", X.fnv1a(F.col("id")).alias("fnv1a"), X.poly31(F.col("id")).alias("poly31"), X.project_of(F.col("relativePath")).alias("project"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL""")
+def activity_windows(spark, d):
+    """The plan of the activity stream over all events at once."""
+    found = changes.activity(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT CASE WHEN regexp_matches(p, '\\.(ts|tsx|js|jsx|mjs|cjs)$') THEN 'npx vitest run' WHEN p LIKE '%.py' THEN 'pytest' WHEN p LIKE '%.go' THEN 'go test' WHEN p LIKE '%.rs' THEN 'cargo test' WHEN p LIKE '%.java' THEN 'mvn test' WHEN p LIKE '%.rb' THEN 'bundle exec rspec' END AS runner, count(*) AS n
+FROM (SELECT DISTINCT id, props['path'] AS p FROM nodes) GROUP BY runner""")
+def runner_choice(spark, d):
+    rows = table(spark, d, "nodes").select("id", F.element_at("props", "path").alias("p")).distinct()
+    return rows.groupBy(impact.runner(F.col("p")).alias("runner")).agg(F.count("*").alias("n"))
+
+
 # ---- layers, tests, progress
 
 # Region layers: each may import itself and the regions listed; EUROPE must not import AFRICA.

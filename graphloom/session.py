@@ -36,6 +36,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
+    """Write df to the shared checkpoint folder and go on from there.
+
+    A checkpoint runs its plan once for the rows and once to write them, so it is kept in between.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist()
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
