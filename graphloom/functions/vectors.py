@@ -71,7 +71,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(vector: Column, query: list[float]) -> Column:
-    """The cosine with one fixed vector, computed in Arrow batches as a matrix product."""
+    """The cosine with one fixed vector, computed in Arrow batches as a matrix product; null for null and empty ones.
+
+    Declared nondeterministic, so that a filter on the result isn't pushed below it and evaluated again.
+    """
     q = np.asarray(query, np.float64)
     qn = float(np.linalg.norm(q))
 
@@ -91,4 +94,4 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
             out[k] = float(v @ w) / norm if norm else 0.0
         return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
-    return run(vector)
+    return run.asNondeterministic()(vector)

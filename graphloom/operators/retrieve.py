@@ -99,12 +99,20 @@ def similar_to(vectors: DataFrame, element: str, threshold: float = 0.7, limit:
 
 def vector_list(vectors: DataFrame, query: list[float], limit: int = 10, order: Sequence[str] = ("function", "class", "file"), project: str | None = None) -> DataFrame:
     """(id, rank, score): the nearest of each type, one type after the other, score 1/rank, cut to the limit."""
-    parts = [knn(vectors, query, limit, types=[t], project=project).withColumn("_gl_t", F.lit(k)) for k, t in enumerate(order)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("type"))
+    best = _nearest_per_type(vectors, query, limit, order, project).withColumn("_gl_t", place)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_gl_t", F.desc("score"), "id"))  # at most limit rows a type
-    return rows.select("id", rank.alias("rank")).filter(F.col("rank") <= limit).select("id", "rank", (1 / F.col("rank")).alias("score"))
+    return best.select("id", rank.alias("rank")).filter(F.col("rank") <= limit).select("id", "rank", (1 / F.col("rank")).alias("score"))
+
+
+def _nearest_per_type(vectors: DataFrame, query: list[float], limit: int, types: Sequence[str], project: str | None = None) -> DataFrame:
+    """(type, id, score): the nearest of each type, in one pass; all but limit rows a type are dropped before the shuffle."""
+    rows = vectors.filter(F.col("type").isin(*types))
+    if project:
+        rows = rows.filter(F.col("project_id") == project)
+    scored = rows.select("type", "id", F.round(cosine_to(F.col("vector"), query), 6).alias("score")).filter(F.col("score").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("_gl_n", rank).filter(F.col("_gl_n") <= limit).drop("_gl_n")
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -157,12 +165,7 @@ def max_score(graph_hits: DataFrame, vector_hits: DataFrame, limit: int = 10) ->
 
 def across_types(vectors: DataFrame, query: list[float], limit: int = 10, types: Sequence[str] = ("function", "class", "file")) -> DataFrame:
     """(type, id, score): the nearest ceil(limit/3) of each type."""
-    each = -(-limit // 3)
-    parts = [knn(vectors, query, each, types=[t]).select(F.lit(t).alias("type"), "id", "score") for t in types]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _nearest_per_type(vectors, query, -(-limit // 3), types)
 
 
 def communities_for(communities: DataFrame, query: str, limit: int = 10) -> DataFrame:

@@ -483,9 +483,9 @@ def knn_cosine(spark, d):
     return retrieve.knn(v, retrieve.vector_of(v, "v:0"))
 
 
-@query(f"WITH {_VEC} SELECT id, score FROM near WHERE id <> 'v:0' AND type = own AND score >= 0.5 ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {_VEC} SELECT id, score FROM near WHERE id <> 'v:0' AND type = own AND score >= 0.2 ORDER BY score DESC, id LIMIT 10")
 def similar_threshold(spark, d):
-    return retrieve.similar_to(_vectors(spark, d), "v:0", 0.5)
+    return retrieve.similar_to(_vectors(spark, d), "v:0", 0.2)
 
 
 @query(f"WITH {_VEC}, {_VLIST.format(10)} SELECT id, rank, 1.0::DOUBLE / rank AS score FROM vlist WHERE rank <= 10")
@@ -506,10 +506,10 @@ def entity_hints(spark, d):
     return retrieve.entity_hints(v, retrieve.vector_of(v, "v:0"), 5)
 
 
-@query(f"WITH {_VEC}, n AS (SELECT id FROM near WHERE id <> 'v:0' AND score >= 0.6 ORDER BY score DESC, id LIMIT 5) SELECT count(*) AS neighbours, CASE WHEN count(*) < 2 THEN 'unique' WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS advice FROM n")
+@query(f"WITH {_VEC}, n AS (SELECT id FROM near WHERE id <> 'v:0' AND score >= 0.2 ORDER BY score DESC, id LIMIT 5) SELECT count(*) AS neighbours, CASE WHEN count(*) < 2 THEN 'unique' WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS advice FROM n")
 def refactor_advice(spark, d):
     v = _vectors(spark, d)
-    return retrieve.refactor_advice(retrieve.knn(v.filter("id <> 'v:0'"), retrieve.vector_of(v, "v:0"), 5, 0.6))
+    return retrieve.refactor_advice(retrieve.knn(v.filter("id <> 'v:0'"), retrieve.vector_of(v, "v:0"), 5, 0.2))
 
 
 def _graph_vectors(spark, d):
