@@ -51,8 +51,8 @@ def proximity(graph: PropertyGraph, seeds: DataFrame, hops: int = 3, types: list
     for k, v in HOP_SCORES.items():
         score = F.when(F.col("hops") == k, v).otherwise(score)
     near = min_hops(graph, seeds, hops).withColumn("score", F.when(F.col("hops") == 0, SEED_SCORE).otherwise(score))
-    wanted = graph.label(*(types or CODE)).select("id")
-    return near.join(wanted, "id", "left_semi").unionByName(near.filter("hops = 0").join(wanted, "id", "left_anti"))
+    wanted = graph.label(*(types or CODE)).select("id", F.lit(True).alias("_gl_w"))
+    return near.join(wanted, "id", "left").filter(F.col("_gl_w") | (F.col("hops") == 0)).select("id", "hops", "score")
 
 
 def expand(graph: PropertyGraph, seeds: DataFrame, limit: int = 10) -> DataFrame:
