@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
-from graphloom.session import cut_lineage
+from graphloom.operators.skew import MIN_ROWS, heavy, local_table
+from graphloom.session import cut_lineage, kept
 
 # Source root folders, and folders too general to name a community.
 SOURCE_ROOTS = ["src", "lib", "app", "pages", "packages", "components", "services"]
@@ -31,21 +32,37 @@ def directory_communities(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "type", "path", directory_label(F.coalesce("path", F.lit(""))).alias("label"))
 
 
-def label_propagation(graph: PropertyGraph, rounds: int = 5) -> DataFrame:
+def label_propagation(graph: PropertyGraph, rounds: int = 5, min_rows: int = MIN_ROWS) -> DataFrame:
     """(id, community): every round a node takes the most frequent label around it, the least on ties.
 
-    The first label is the node's id. Votes are counted per node and label before the choice, so hubs
-    are pre-aggregated.
+    The first label is the node's id. Adjacent nodes are kept partitioned, labels lie partitioned beside
+    them, and a round shuffles the votes, counted per node and label before the choice. The neighbours of
+    hubs stay spread and get the hub's label by broadcast (at most PARTS hubs).
     """
-    pairs = graph.undirected().filter("here <> there").select("here", "there").distinct().repartition("there").persist()
-    labels = graph.nodes.select("id", F.col("id").alias("community")).distinct()
-    for k in range(1, rounds + 1):
-        votes = pairs.join(labels, F.col("there") == F.col("id")).groupBy("here", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("here").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community").alias("c")))["c"].alias("next"))
-        labels = labels.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community"))
-        if k % 2 == 0 and k < rounds:
-            labels = cut_lineage(labels)
-    return labels
+    own = []
+    try:
+        own.append(pairs := kept(graph.undirected().filter("here <> there").select("here", "there").distinct()))
+        hubs = [(k,) for k, _ in heavy(pairs, ["there"], min_rows)]
+        rest = pairs
+        if hubs:
+            hub = F.broadcast(local_table(pairs.sparkSession, hubs, "_gl_h string"))
+            rest, spread = (pairs.join(hub, F.col("there") == F.col("_gl_h"), how) for how in ("left_anti", "left_semi"))
+        own.append(beside := kept(rest.repartition("there")))
+        labels = graph.nodes.select("id", F.col("id").alias("community")).distinct()
+        for k in range(1, rounds + 1):
+            votes = beside.join(labels.hint("merge"), F.col("there") == F.col("id")).select("here", "community")
+            if hubs:
+                few = F.broadcast(labels.join(hub, F.col("id") == F.col("_gl_h"), "left_semi"))
+                votes = votes.unionByName(spread.join(few, F.col("there") == F.col("id")).select("here", "community"))
+            votes = votes.groupBy("here", "community").agg(F.count("*").alias("n"))
+            best = votes.groupBy("here").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community").alias("c")))["c"].alias("next"))
+            labels = labels.join(best.hint("merge"), F.col("id") == F.col("here"), "left").select("id", F.coalesce("next", "community").alias("community"))
+            if k % 2 == 0 or k == rounds:
+                labels = cut_lineage(labels)
+        return labels
+    finally:
+        for df in own:
+            df.unpersist()
 
 
 def summaries(members: DataFrame, by: str = "label") -> DataFrame:

@@ -1,7 +1,9 @@
 """PageRank family: personalised power iteration, global rank and their blend with proximity.
 
-Edges are weighed and partitioned by source once and kept; each round shuffles the ranks and the
-contributions, which are summed per target before the shuffle. The lineage is cut every few rounds.
+Edges are weighed and partitioned by source once and kept, ranks lie partitioned by id beside them, so
+a round shuffles only the contributions, which are summed per target before. The edges of hubs, which
+have very many, stay spread and get the rank of their hub by broadcast. The lineage is cut every few
+rounds; what was kept is released before the result is returned.
 """
 
 from __future__ import annotations
@@ -11,42 +13,54 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
 from graphloom.model import CODE, RANK_WEIGHTS
-from graphloom.operators.skew import CELLS, MIN_ROWS, hot_keys
+from graphloom.operators.skew import MIN_ROWS, heavy, local_table
 from graphloom.operators.traverse import proximity, type_weight
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, kept
 
 CUT_EVERY = 5
 
 
 def _weighted(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(src, dst, w): the weight of each pair, kept; parallel edges add up."""
+    """(src, dst, w): the weight of each pair; parallel edges add up."""
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return e.groupBy("src", "dst").agg(F.sum(type_weight(weights)).alias("w")).persist()
+    return e.groupBy("src", "dst").agg(F.sum(type_weight(weights)).alias("w"))
 
 
 def _iterate(nodes: DataFrame, weighted: DataFrame, damping: float, rounds: int, cut_every: int = CUT_EVERY, min_rows: int = MIN_ROWS) -> DataFrame:
-    """rank' = (1 - damping) * base + damping * inflow over nodes (id, base, rank).
+    """rank' = (1 - damping) * base + damping * inflow over nodes (id, base, rank); an edge carries its part of the weight that leaves its source.
 
-    An edge carries its part of the weight that leaves its source. Sources with many edges are
-    salted: their edges are spread by target and their rank, one row, is repeated for each salt.
+    At most PARTS hubs are broadcast.
     """
-    totals = weighted.groupBy("src").agg(F.sum("w").alias("t"))
-    shares = weighted.join(totals, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share"), F.lit(0).alias("_gl_salt"))
-    hot = hot_keys(weighted, "src", "w", min_rows)
-    if hot:
-        salts, n = F.broadcast(hot.table().select(F.col("_gl_key").alias("_gl_h"), F.col(CELLS).alias("_gl_n"))), F.coalesce("_gl_n", F.lit(1))
-        shares = shares.join(salts, F.col("src") == F.col("_gl_h"), "left").select("src", "dst", "share", F.pmod(F.xxhash64("dst"), n).cast("int").alias("_gl_salt"))
-    shares = shares.repartition("src", "_gl_salt").persist()
-    ranks = nodes
-    for k in range(1, rounds + 1):
-        sent = ranks.select(F.col("id").alias("src"), "rank", F.lit(0).alias("_gl_salt"))
-        if hot:
-            sent = sent.join(salts, F.col("src") == F.col("_gl_h"), "left").select("src", "rank", F.explode(F.sequence(F.lit(0), n - 1)).alias("_gl_salt"))
-        flow = sent.join(shares, ["src", "_gl_salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        ranks = nodes.select("id", "base").join(flow, "id", "left").select("id", "base", ((1 - damping) * F.col("base") + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
-        if k % cut_every == 0 and k < rounds:
-            ranks = cut_lineage(ranks)
-    return ranks
+    own = []  # what is kept until the end
+    try:
+        own.append(weighted := kept(weighted))
+        hubs = [(k,) for k, _ in heavy(weighted, ["src"], min_rows)]
+        share = (F.col("w") / F.col("t")).alias("share")
+        totals = weighted.groupBy(F.col("src").alias("_gl_src")).agg(F.sum("w").alias("t"))
+        rest = weighted
+        if hubs:
+            hub = F.broadcast(local_table(weighted.sparkSession, hubs, "_gl_h string"))
+            rest = weighted.join(hub, F.col("src") == F.col("_gl_h"), "left_anti")
+            theirs = F.broadcast(totals.join(hub, F.col("_gl_src") == F.col("_gl_h"), "left_semi"))
+            own.append(spread := kept(weighted.join(theirs, F.col("src") == F.col("_gl_src")).select("src", "dst", share)))
+        own.append(shares := kept(rest.repartition("src").join(totals.hint("merge"), F.col("src") == F.col("_gl_src")).select("src", "dst", share)))
+        own.append(base := kept(nodes.select("id", "base").repartition("id")))
+        ranks = base.join(nodes.select("id", "rank"), "id")
+        for k in range(1, rounds + 1):
+            sent = ranks.select(F.col("id").alias("_gl_from"), "rank")
+            flow = shares.join(sent.hint("merge"), F.col("src") == F.col("_gl_from")).select("dst", "rank", "share")
+            if hubs:
+                few = F.broadcast(sent.join(hub, F.col("_gl_from") == F.col("_gl_h"), "left_semi"))
+                flow = flow.unionByName(spread.join(few, F.col("src") == F.col("_gl_from")).select("dst", "rank", "share"))
+            flow = flow.groupBy(F.col("dst").alias("_gl_to")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
+            moved = (1 - damping) * F.col("base") + damping * F.coalesce("inflow", F.lit(0.0))
+            ranks = base.join(flow.hint("merge"), F.col("id") == F.col("_gl_to"), "left").select("id", "base", moved.alias("rank"))
+            if k % cut_every == 0 or k == rounds:
+                ranks = cut_lineage(ranks)
+        return ranks
+    finally:
+        for df in own:
+            df.unpersist()
 
 
 def personalised_pagerank(graph: PropertyGraph, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, weights: dict[str, float] | None = None, limit: int | None = 50) -> DataFrame:

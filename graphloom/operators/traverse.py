@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
 from graphloom.model import CODE, EXPANSION_WEIGHTS, OTHER_WEIGHT
+from graphloom.session import cut_lineage, kept
 
 # Score by hop count of the proximity ranking, seeds and further hops.
 HOP_SCORES = {1: 1.0, 2: 0.6, 3: 0.3}
@@ -34,15 +35,24 @@ def degrees(edges: DataFrame) -> DataFrame:
 def min_hops(graph: PropertyGraph, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(id, hops): the least number of undirected steps from any seed, up to a bound; seeds have 0.
 
-    Each step is a join of the distinct frontier, so its size is bounded by the number of nodes.
+    A step joins the nodes found last with the edges they touch and keeps those not seen before, so no
+    node is expanded twice. Every step is cut off from the one before.
     """
-    adjacent = graph.undirected().select("here", "there")
-    frontier = seeds.select("id").filter(F.col("id").isNotNull()).distinct()
-    levels = frontier.select("id", F.lit(0).alias("hops"))
-    for k in range(1, hops + 1):
-        frontier = frontier.join(adjacent, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct()
-        levels = levels.unionByName(frontier.select("id", F.lit(k).alias("hops")))
-    return levels.groupBy("id").agg(F.min("hops").alias("hops"))
+    seen = seeds.select("id", F.lit(0).alias("hops")).filter(F.col("id").isNotNull()).distinct()
+    if hops < 1:
+        return seen
+    seen = cut_lineage(seen)
+    edges = kept(graph.edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    try:
+        for k in range(1, hops + 1):
+            last = seen.filter(F.col("hops") == k - 1).select(F.col("id").alias("_gl_last"))
+            out = edges.join(last, F.col("src") == F.col("_gl_last"), "left_semi").select(F.col("dst").alias("id"))
+            into = edges.join(last, F.col("dst") == F.col("_gl_last"), "left_semi").select(F.col("src").alias("id"))
+            found = out.unionByName(into).distinct().join(seen.select("id"), "id", "left_anti")
+            seen = cut_lineage(seen.unionByName(found.select("id", F.lit(k).alias("hops"))))
+        return seen
+    finally:
+        edges.unpersist()
 
 
 def proximity(graph: PropertyGraph, seeds: DataFrame, hops: int = 3, types: list[str] | None = None) -> DataFrame:
@@ -57,8 +67,12 @@ def proximity(graph: PropertyGraph, seeds: DataFrame, hops: int = 3, types: list
 
 def expand(graph: PropertyGraph, seeds: DataFrame, limit: int = 10) -> DataFrame:
     """(id, score): neighbours of the seeds in both directions with summed weights; repeated seeds count repeatedly."""
-    hit = seeds.select(F.col("id").alias("_gl_seed")).join(graph.undirected(), F.col("_gl_seed") == F.col("here"))
-    out = hit.groupBy(F.col("there").alias("id")).agg(F.round(F.sum(type_weight(EXPANSION_WEIGHTS)), 6).alias("score"))
+    times = seeds.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("_gl_seed")).agg(F.count("*").alias("_gl_n"))
+    near = None
+    for here, there in (("src", "dst"), ("dst", "src")):  # edges are filtered by the seeds before anything is shuffled
+        hit = graph.edges.join(times, F.col(here) == F.col("_gl_seed")).select(F.col(there).alias("id"), (F.col("_gl_n") * type_weight(EXPANSION_WEIGHTS)).alias("w"))
+        near = hit if near is None else near.unionByName(hit)
+    out = near.groupBy("id").agg(F.round(F.sum("w"), 6).alias("score"))
     return out.orderBy(F.desc("score"), "id").limit(limit)
 
 

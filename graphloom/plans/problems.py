@@ -95,6 +95,7 @@ final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, vf ORDER
 marked AS (SELECT *, CASE WHEN gone THEN '-' ELSE CAST(row(name, kind, "relativePath", "startLine", "endLine", "LOC", summary, "isExported") AS VARCHAR) END AS state FROM final),
 steps AS (SELECT *, lag(state) OVER (PARTITION BY id ORDER BY vf) AS before FROM marked),
 heads AS (SELECT *, lead(vf) OVER (PARTITION BY id ORDER BY vf) AS until FROM steps WHERE before IS NULL OR before <> state)"""
+_EVER = 9223372036854775807
 _HELD = """rows AS (
   SELECT id, "targetId", "validFrom" AS s, max("validTo") AS e FROM claims WHERE "targetId" IS NOT NULL AND "validFrom" IS NOT NULL GROUP BY ALL),
 valid AS (SELECT *, coalesce(e, 9223372036854775807) AS z FROM rows WHERE e IS NULL OR e > s),
@@ -118,6 +119,21 @@ events AS (
 best AS (SELECT "eventId", "classId", "txId", gone, row_number() OVER (PARTITION BY "eventId", "classId", t ORDER BY vf DESC, tx DESC, "txId" DESC) AS n
   FROM events JOIN reports ON id = "classId" AND vf <= t AND tx <= t)
 SELECT "eventId", "classId", "txId" FROM best WHERE n = 1 AND NOT gone""",
+    "p2_rectangles": f"""WITH {_REPORTS},
+once AS (SELECT id, vf, tx, coalesce("txId", '') AS "txId", gone, coalesce(lead(tx) OVER (PARTITION BY id, vf ORDER BY tx), {_EVER}) AS replaced
+  FROM (SELECT *, row_number() OVER (PARTITION BY id, vf, tx ORDER BY "txId" DESC, gone DESC) AS n FROM reports WHERE tx IS NOT NULL) WHERE n = 1),
+ends AS (SELECT a.*, greatest(a.tx, b.tx) AS r, b.vf AS e FROM once AS a JOIN once AS b ON a.id = b.id AND b.vf > a.vf AND b.tx < a.replaced
+  UNION ALL SELECT *, tx, {_EVER} FROM once),
+steps AS (SELECT *, min(e) OVER (PARTITION BY id, vf, tx ORDER BY r RANGE UNBOUNDED PRECEDING) AS until FROM ends),
+parts AS (SELECT id, vf, tx, until, replaced, "txId", gone, min(r) AS r FROM steps GROUP BY ALL)
+SELECT id AS "classId", vf AS "validFrom", until AS "validTo", r AS "recordedFrom",
+  coalesce(lead(r) OVER (PARTITION BY id, vf, tx ORDER BY r), replaced) AS "recordedTo", "txId", gone AS removed FROM parts""",
+    "p5_history": f"""WITH {_FINAL},
+versions AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> state THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY vf) AS v FROM steps),
+each AS (SELECT id, v, gone, min(vf) AS a, count(*) AS snapshots, max(name) AS name, max(kind) AS kind, max("relativePath") AS "relativePath", max("startLine") AS "startLine",
+  max("endLine") AS "endLine", max("LOC") AS "LOC", max(summary) AS summary, bool_or("isExported") AS "isExported" FROM versions GROUP BY id, v, gone),
+timed AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a), 9999999999999) AS z FROM each)
+SELECT id, name, kind, "relativePath", "startLine", "endLine", "LOC", summary, "isExported", a AS "validFrom", z AS "validTo", snapshots FROM timed WHERE NOT gone""",
     "p3_found": f"""WITH {_HELD} SELECT "targetId", prev AS "gapFrom", s AS "gapTo" FROM swept WHERE s > prev""",
     "p3_periods": f"""WITH {_HELD},
 marked AS (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER (PARTITION BY "targetId" ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS island FROM swept)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,24 +19,33 @@ def local_session(app: str = "graphloom", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """The shared folder that spark.checkpoint.dir names; in one process (local[...]), which shares every folder, a temporary one if it names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if named is None and not sc.master.startswith("local"):
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed and kept, so that later plans know how it is partitioned; the caller unpersists it."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.format("noop").mode("overwrite").save()
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
