@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.mixing import mixture, shares, source_plan
+from graphloom.llm.mixing import mixture, shares, short_sources, source_plan
 from graphloom.llm.reading import demanding, fit, reading_levels
 from graphloom.llm.similar import nearest, similar_pairs
 from graphloom.llm.splitting import oversized, split_texts
@@ -47,9 +47,10 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    plan = source_plan(_sizes(spark, folder), table(spark, folder, "mix_targets"))
-    return plan.filter("short").select("source")
+    """Sources that cannot reach their share, as the mixture shows."""
+    sizes = _sizes(spark, folder)
+    plan = source_plan(sizes, table(spark, folder, "mix_targets"))
+    return short_sources(mixture(sizes, plan), plan)
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:

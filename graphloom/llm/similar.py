@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.skew import HOT_KEYS, MIN_ROWS
+from graphloom.operators.skew import MIN_ROWS, PARTS as HOT_KEYS
 
 DIM = 128
 TRAIN = 65_536

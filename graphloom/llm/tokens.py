@@ -8,9 +8,10 @@ beyond a boundary. BPE works within pre-tokens, so the ids between the stitches
 text. A text whose chunks don't meet (one pre-token longer than the overlap) is encoded whole.
 Decoding concatenates the bytes of the ids.
 
-Defined results: empty and null texts have an empty list; text that looks like a special token is
-plain text; row ids are unique (of repeated rows with a long text one remains); a null row id is a
-value like others; an empty table gives an empty result; further columns are ignored.
+Defined results: every row gives one, repeated rows and rows with one id and different texts too,
+whatever their length; empty and null texts have an empty list; text that looks like a special token is
+plain text; a null row id is a value like others; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql.window import Window
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k"
-CHUNK, OVERLAP = 50_000, 1_000
+#: A few times the usual text, so that only the long tail is cut.
+CHUNK, OVERLAP = 8_000, 500
 #: No boundary decision looks further ahead than this, so those before a chunk's last MARGIN characters hold.
 MARGIN = 8
 
@@ -71,7 +73,7 @@ def _encode_texts(path: str, name: str, count: bool):
     return run
 
 
-CHUNKS = "_gl_id {0}, _gl_k int, _gl_left array<int>, _gl_leftn array<int>, _gl_right array<int>, _gl_rightn array<int>, _gl_ids array<int>"
+CHUNKS = "_gl_id {0}, _gl_h string, _gl_copies long, _gl_k int, _gl_left array<int>, _gl_leftn array<int>, _gl_right array<int>, _gl_rightn array<int>, _gl_ids array<int>"
 
 
 def _encode_chunk(encode, text: str, k: int, n: int, chunk: int, overlap: int, path: str, name: str) -> tuple:
@@ -99,7 +101,7 @@ def _encode_chunks(path: str, name: str, chunk: int, overlap: int):
             k, n, text = (batch.column(c).to_pylist() for c in ("_gl_k", "_gl_n", "_gl_text"))
             done = [_encode_chunk(encode, t, i, m, chunk, overlap, path, name) for i, m, t in zip(k, n, text)]
             lists = [pa.array([d[j] for d in done], ints) for j in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("_gl_id"), pa.array(k, pa.int32()), *lists], ["_gl_id", "_gl_k", "_gl_left", "_gl_leftn", "_gl_right", "_gl_rightn", "_gl_ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_gl_id", "_gl_h", "_gl_copies")), pa.array(k, pa.int32()), *lists], ["_gl_id", "_gl_h", "_gl_copies", "_gl_k", "_gl_left", "_gl_leftn", "_gl_right", "_gl_rightn", "_gl_ids"])
 
     return run
 
@@ -109,12 +111,14 @@ def _long_texts(long: DataFrame, kind: str, path: str, name: str, chunk: int, ov
     if not MARGIN < overlap <= chunk:
         raise ValueError("the overlap must lie between the margin and the chunk")
     parts = F.regexp_extract_all("_gl_text", F.lit(f"[\\s\\S]{{1,{chunk}}}"), F.lit(0))
-    cut = long.select("_gl_id", parts.alias("_gl_p"))
+    long = long.withColumn("_gl_h", F.md5("_gl_text"))  # tells the texts of one id apart
+    cut = long.select("_gl_id", "_gl_h", parts.alias("_gl_p"))
     heads = F.transform("_gl_p", lambda p, k: F.concat(p, F.coalesce(F.left(F.get("_gl_p", k + 1), F.lit(overlap)), F.lit(""))))
-    rows = cut.select("_gl_id", F.size("_gl_p").alias("_gl_n"), F.posexplode(heads).alias("_gl_k", "_gl_text"))
-    rows = rows.repartition(F.col("_gl_id"), F.col("_gl_k"))
+    rows = cut.select("_gl_id", "_gl_h", F.size("_gl_p").alias("_gl_n"), F.posexplode(heads).alias("_gl_k", "_gl_text"))
+    # the chunks are spread; those of repeated rows are encoded once
+    rows = rows.groupBy("_gl_id", "_gl_h", "_gl_n", "_gl_k").agg(F.max("_gl_text").alias("_gl_text"), F.count("*").alias("_gl_copies"))
     done = rows.mapInArrow(_encode_chunks(path, name, chunk, overlap), CHUNKS.format(kind))
-    by = Window.partitionBy("_gl_id").orderBy("_gl_k")
+    by = Window.partitionBy("_gl_id", "_gl_h").orderBy("_gl_k")
     met = F.array_min(F.array_intersect("_gl_right", F.lead("_gl_left").over(by)))
     done = done.withColumn("_gl_next", F.lead("_gl_k").over(by)).withColumn("_gl_stitch", met).withColumn("_gl_from", F.lag("_gl_stitch").over(by))
     count_at = lambda places, counts, at: F.element_at(F.col(counts), F.array_position(places, F.col(at)).cast("int"))
@@ -122,10 +126,10 @@ def _long_texts(long: DataFrame, kind: str, path: str, name: str, chunk: int, ov
     begin = F.when(F.col("_gl_k") > 0, F.when(F.col("_gl_from").isNotNull(), count_at("_gl_left", "_gl_leftn", "_gl_from"))).otherwise(0)
     end = F.when(F.col("_gl_stitch").isNotNull(), count_at("_gl_right", "_gl_rightn", "_gl_stitch")).otherwise(F.size("_gl_ids"))
     part = F.slice("_gl_ids", F.coalesce(begin, F.lit(0)) + 1, F.greatest(F.lit(0), end - F.coalesce(begin, F.lit(0))))
-    whole = done.groupBy("_gl_id").agg(F.max("_gl_lost").alias("_gl_lost"), F.sort_array(F.collect_list(F.struct("_gl_k", part.alias("ids")))).alias("_gl_all"))
-    stitched = whole.filter(~F.col("_gl_lost")).select("_gl_id", F.flatten("_gl_all.ids").alias("_gl_ids"))
-    lost = whole.filter("_gl_lost").select(F.col("_gl_id").alias("_gl_lid"))
-    again = long.join(lost, F.col("_gl_id").eqNullSafe(F.col("_gl_lid")), "left_semi").dropDuplicates(["_gl_id"])
+    whole = done.groupBy("_gl_id", "_gl_h").agg(F.max("_gl_copies").alias("_gl_copies"), F.max("_gl_lost").alias("_gl_lost"), F.sort_array(F.collect_list(F.struct("_gl_k", part.alias("ids")))).alias("_gl_all"))
+    stitched = whole.filter(~F.col("_gl_lost")).withColumn("_gl_copy", F.explode(F.sequence(F.lit(1), F.col("_gl_copies")))).select("_gl_id", F.flatten("_gl_all.ids").alias("_gl_ids"))
+    lost = whole.filter("_gl_lost").select(F.col("_gl_id").alias("_gl_lid"), F.col("_gl_h").alias("_gl_lh"))
+    again = long.join(lost, F.col("_gl_id").eqNullSafe(F.col("_gl_lid")) & (F.col("_gl_h") == F.col("_gl_lh")), "left_semi").select("_gl_id", "_gl_text")
     return stitched.unionByName(again.mapInArrow(_encode_texts(path, name, False), f"_gl_id {kind}, _gl_ids array<int>"))
 
 
