@@ -5,13 +5,16 @@ a class, whatever their ids and lengths, so copies are searched once. Cells are
 a bounded sample (TRAIN vectors; dense regions get as many more centroids as they have vectors, and
 a centroid with much more than its share is split). Every class is a member of its nearest cell and
 a query in those of its PROBES nearest ones whose centroid is at most MARGIN less similar than the nearest.
+A cell with more than PART_ROWS members, by the sample, is divided into parts by class; queries ask all
+parts, so no group grows with the data.
 
 Within a cell, members are organised in lists. A query scans its nearest lists in column blocks of
 BLOCK dimensions: because the rotation spreads the distance evenly, the partial distance estimates
 the whole, and a candidate whose estimate exceeds the query's current k-th distance by a test at
 EPSILON / sqrt(dimensions) is abandoned. The partial results of the cells are merged per class.
 
-All vectors are indexed; only the centroids depend on the sample. Recall is measured in tests.
+All vectors are indexed; only the centroids and the numbers of parts depend on the sample. Recall is
+measured in tests. exact=True asks every cell and abandons nothing.
 
 Defined results: vectors of another length, with null, NaN or infinite numbers, or all zero, take no
 part; rows without id neither; repeated rows count once; ties go to the smaller id; copies are each
@@ -29,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.skew import MIN_ROWS, PARTS as HOT_KEYS
+from graphloom.operators.skew import MIN_ROWS, PARTS
 
 DIM = 128
 TRAIN = 65_536
 CELL_ROWS = 2_048
 MAX_CELLS = 8_192
+PART_ROWS = 32_768
 PROBES = 6
 MARGIN = 0.12
 LIST_ROWS = 256
@@ -103,29 +107,33 @@ def train_cells(sample: np.ndarray, cells: int, seed: int = SEED) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def _scan(queries: np.ndarray, q_keys: np.ndarray, members: np.ndarray, m_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _scan(queries: np.ndarray, q_keys: np.ndarray, members: np.ndarray, m_keys: np.ndarray, k: int, share: float = LIST_SHARE, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(nearest member numbers, squared distances) of each query, -1 and inf where there are fewer."""
     dim = members.shape[1]
     lists = _kmeans(members, max(1, round(len(members) / LIST_ROWS)), 3, SEED)
     of = (members @ lists.T).argmax(1)
-    rank = np.argsort(-(queries @ lists.T), axis=1)[:, : max(1, int(np.ceil(LIST_SHARE * len(lists))))]
+    order = np.argsort(of, kind="stable")  # so that a list is a slice
+    members, m_keys, begins = members[order], m_keys[order], np.searchsorted(of[order], np.arange(len(lists) + 1))
+    rank = np.argsort(-(queries @ lists.T), axis=1)[:, : max(1, int(np.ceil(share * len(lists))))]
     best_d = np.full((len(queries), k), np.inf, np.float32)
     best_m = np.full((len(queries), k), -1, np.int64)
     blocks = [slice(a, min(a + BLOCK, dim)) for a in range(0, dim, BLOCK)]
     for r in range(rank.shape[1]):  # nearest lists first, so that thresholds are tight early
+        asking = np.argsort(rank[:, r], kind="stable")
+        bounds = np.searchsorted(rank[asking, r], np.arange(len(lists) + 1))
         for l in range(len(lists)):
-            rows, ids = np.flatnonzero(rank[:, r] == l), np.flatnonzero(of == l)
+            rows, ids = asking[bounds[l] : bounds[l + 1]], np.arange(begins[l], begins[l + 1])
             for a in range(0, len(rows) if len(ids) else 0, 1024):
                 part = rows[a : a + 1024]
                 limit = best_d[part, -1]
-                i, j, dist = _adaptive(queries[part], members[ids], limit, blocks, k + 1)
+                i, j, dist = _adaptive(queries[part], members[ids[0] : ids[-1] + 1], limit, blocks, k + 1, epsilon)
                 other = (q_keys[part[i]] != m_keys[ids[j]]) & (dist < limit[i])
                 i, j, dist = i[other], ids[j[other]], dist[other]
                 _merge(best_d, best_m, part, i, j, dist, k)
-    return best_m, best_d
+    return np.where(best_m >= 0, order[best_m], -1), best_d
 
 
-def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slice], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slice], keep: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, squared distance) of the pairs that no test abandons; where few are, of the `keep` nearest.
 
     keep is one more than the neighbours wanted, as a query may find itself.
@@ -134,7 +142,7 @@ def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slic
     first = blocks[0]
     part = (q[:, first] ** 2).sum(1)[:, None] + (m[:, first] ** 2).sum(1)[None, :] - 2 * q[:, first] @ m[:, first].T
     seen = first.stop
-    i, j = np.nonzero(part <= (limit * (seen / dim) * (1 + EPSILON / np.sqrt(seen)) ** 2)[:, None])
+    i, j = np.nonzero(part <= (limit * (seen / dim) * (1 + epsilon / np.sqrt(seen)) ** 2)[:, None])
     if len(i) > 0.25 * part.size:  # no threshold yet: the rest at once
         rest = slice(first.stop, dim)
         part = part + (q[:, rest] ** 2).sum(1)[:, None] + (m[:, rest] ** 2).sum(1)[None, :] - 2 * q[:, rest] @ m[:, rest].T
@@ -146,7 +154,7 @@ def _adaptive(q: np.ndarray, m: np.ndarray, limit: np.ndarray, blocks: list[slic
     for b in blocks[1:]:
         dist = dist + ((q[i, b] - m[j, b]) ** 2).sum(1)
         seen = b.stop
-        test = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else 1.0
+        test = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dim else 1.0
         stay = dist <= limit[i] * (seen / dim) * test
         i, j, dist = i[stay], j[stay], dist[stay]
     return i, j, np.maximum(dist, 0)
@@ -169,38 +177,40 @@ def _merge(best_d: np.ndarray, best_m: np.ndarray, part: np.ndarray, i: np.ndarr
     best_d[part[hit]], best_m[part[hit]] = np.take_along_axis(d, order, 1), np.take_along_axis(m, order, 1)
 
 
-ROUTED = "cell int, member boolean, key long, scale float, code binary"
+ROUTED = "cell int, part int, member boolean, key long, scale float, code binary"
 NEAR = "key long, others array<long>, dots array<double>"
 
 
-def _route(turn: np.ndarray, cells: np.ndarray, dim: int, probes: int, margin: float):
-    schema = pa.schema([("cell", pa.int32()), ("member", pa.bool_()), ("key", pa.int64()), ("scale", pa.float32()), ("code", pa.binary())])
+def _route(turn: np.ndarray, cells: np.ndarray, parts: np.ndarray, dim: int, probes: int, margin: float):
+    schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("member", pa.bool_()), ("key", pa.int64()), ("scale", pa.float32()), ("code", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # the classes of this partition
         for batch in batches:
             if not batch.num_rows:
                 continue
             code, scale, key = _coded(_matrix(batch.column(0), dim), turn)
-            new = [n for n, x in enumerate(key.tolist()) if not (x in seen or seen.add(x))]
+            new = np.unique(key, return_index=True)[1]  # copies further apart meet in their cell
             code, scale, key = code[new], scale[new], key[new]
-            if not len(new):
-                continue
             near = (code.astype(np.float32) * scale[:, None]) @ cells.T
             n = min(probes, near.shape[1])
             top = np.argpartition(-near, n - 1, axis=1)[:, :n]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
             score = np.take_along_axis(near, top, 1)
             row, place = np.nonzero(score >= score[:, :1] - margin)
+            cell = top[row, place]
+            times = parts[cell]  # every part of a cell is asked, one has the member
+            row, place, cell = (np.repeat(v, times) for v in (row, place, cell))
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            member = (place == 0) & (part == key[row] % parts[cell])
             data = [c.tobytes() for c in code]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(top[row, place], pa.int32()), pa.array(place == 0), pa.array(key[row]), pa.array(scale[row]), pa.array([data[r] for r in row], pa.binary())], schema=schema
+                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(member), pa.array(key[row]), pa.array(scale[row]), pa.array([data[r] for r in row], pa.binary())], schema=schema
             )
 
     return run
 
 
-def _search(dim: int, k: int):
+def _search(dim: int, k: int, share: float, epsilon: float):
     schema = pa.schema([("key", pa.int64()), ("others", pa.list_(pa.int64())), ("dots", pa.list_(pa.float64()))])
 
     def run(rows: pa.Table) -> pa.Table:
@@ -214,7 +224,7 @@ def _search(dim: int, k: int):
         if not member.any():
             return schema.empty_table()
         m_keys = key[member]
-        near, dist = _scan(x, key, x[member], m_keys, k)
+        near, dist = _scan(x, key, x[member], m_keys, k, share, epsilon)
         got = near >= 0
         others = [m_keys[r[g]].tolist() for r, g in zip(near, got)]
         dots = [(1 - d[g].astype(np.float64) / 2).tolist() for d, g in zip(dist, got)]
@@ -232,20 +242,46 @@ def _keys(turn: np.ndarray, dim: int):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = DIM, cell_rows: int = CELL_ROWS, train: int = TRAIN, probes: int = PROBES, margin: float = MARGIN, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(id, other, similarity): for every usable vector the k other ids most similar to it."""
+def nearest(
+    df: DataFrame,
+    id_col: str,
+    vector_col: str,
+    k: int = 5,
+    dim: int = DIM,
+    cell_rows: int = CELL_ROWS,
+    train: int = TRAIN,
+    probes: int = PROBES,
+    margin: float = MARGIN,
+    list_share: float = LIST_SHARE,
+    epsilon: float = EPSILON,
+    max_cells: int = MAX_CELLS,
+    part_rows: int = PART_ROWS,
+    exact: bool = False,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """(id, other, similarity): for every usable vector the k other ids most similar to it.
+
+    exact costs the square of the number of vectors, in blocks of a part's members.
+    """
+    if exact:
+        probes, margin, list_share, epsilon = max_cells * 8, 4.0, 1.0, float("inf")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable("v", dim))
     turn = rotation(dim)
     total = df.count()
-    share = F.pmod(F.xxhash64(F.lit(SEED), F.col("v")), F.lit(1 << 20)) < max(1, int(min(1.0, 0.8 * train / max(1, total)) * (1 << 20)))
-    sample = rows.filter(share).select("v").limit(train).toArrow().column(0).combine_chunks()
+    share = max(1, int(min(1.0, 0.8 * train / max(1, total)) * (1 << 20)))
+    # a share of the values, so copies don't add to the sample
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), F.col("v")), F.lit(1 << 20)) < share).select("v").distinct().toArrow().column(0).combine_chunks()
     code, scale, key = _coded(_matrix(sample, dim), turn) if len(sample) else (np.zeros((0, dim), np.int16), np.zeros(0, np.float32), np.zeros(0, np.int64))
     once = np.unique(key, return_index=True)[1]
-    cells = train_cells(code[once].astype(np.float32) * scale[once][:, None], min(MAX_CELLS, max(1, -(-total // cell_rows)), max(1, len(once) // 8)))
-    routed = rows.select("v").mapInArrow(_route(turn, cells, dim, probes, margin), ROUTED)
-    found = routed.groupBy("cell").applyInArrow(_search(dim, k), NEAR)
-    # the k best classes of each class, out of at most PROBES lists of k
+    known = code[once].astype(np.float32) * scale[once][:, None]
+    cells = train_cells(known, min(max_cells, max(1, -(-total // cell_rows)), max(1, len(once) // 8)))
+    near = np.concatenate([(known[i : i + 8192] @ cells.T).argmax(1) for i in range(0, len(known), 8192)] or [np.zeros(0, np.int64)])
+    members = np.bincount(near, minlength=len(cells)) * (1 << 20) / share
+    parts = np.maximum(1, np.ceil(members / part_rows)).astype(np.int64)
+    routed = rows.select("v").mapInArrow(_route(turn, cells, parts, dim, probes, margin), ROUTED)
+    found = routed.groupBy("cell", "part").applyInArrow(_search(dim, k, list_share, epsilon), NEAR)
+    # the k best classes of each class, out of a list of k for each part asked
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("others", "dots"), lambda p: F.struct(F.round(-p["dots"], 7).alias("d"), p["others"].alias("other")))))
     classes_near = found.groupBy("key").agg(F.slice(F.sort_array(F.array_distinct(pairs)), 1, k).alias("near"))
     ids = rows.mapInArrow(_keys(turn, dim), "key long, id string").distinct()
@@ -265,8 +301,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
 
 
 def _joined(ids: DataFrame, per_class: DataFrame, min_rows: int) -> DataFrame:
-    """ids with the row of their class; the largest classes (at most HOT_KEYS) by broadcast, so that none makes a hot task."""
-    hot = ids.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > min_rows).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select(F.col("key").alias("_gl_h"))
+    """ids with the row of their class; the largest classes (at most PARTS) by broadcast, so that none makes a hot task."""
+    hot = ids.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > min_rows).orderBy(F.desc("n"), "key").limit(PARTS).select(F.col("key").alias("_gl_h"))
     hot = F.broadcast(hot)
     large = ids.join(F.broadcast(per_class.join(hot, F.col("key") == F.col("_gl_h"), "left_semi")), "key")
     return large.unionByName(ids.join(hot, F.col("key") == F.col("_gl_h"), "left_anti").join(per_class, "key"))
