@@ -1,18 +1,28 @@
 """The relational test tables as a property graph: regions and nations are folders, customers files,
 suppliers test suites, orders imports and parts functions.
 
-CALLS_TO links the parts of consecutive lines of an order. Edges are distinct.
+CALLS_TO links the parts of consecutive lines of an order. Edges are distinct. A session writes the
+nodes and the edges of a folder once, when a query first reads them, into its checkpoint folder; edges
+lie apart by type, so a query reads only the types it names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
+from graphloom.session import checkpoint_dir
 from graphloom.sources.tables import table
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+COLUMNS = ["id", "type", "project_id", "name", "path", "summary", "valid_from", "valid_to"]
+
 
 def _ms(column: str):
     return F.unix_millis(F.col(column).cast("timestamp"))
@@ -28,7 +38,38 @@ def _node(df: DataFrame, kind: str, node_id, name, path, summary=None, valid_fro
     )
 
 
+class StoredGraph(PropertyGraph):
+    """A graph whose two tables are written when they are first read."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        object.__setattr__(self, "_at", (spark, folder))
+
+    def _read(self, part: str) -> DataFrame:
+        spark, folder = self._at
+        key = (spark.sparkContext.applicationId, folder, part)
+        if key not in _WRITTEN:
+            path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}-{part}"
+            built = getattr(projected(spark, folder), part)
+            (built.repartition("type", "src") if part == "edges" else built).write.partitionBy("type").parquet(path)
+            _WRITTEN[key] = path
+        columns = ["src", "dst", "type"] if part == "edges" else COLUMNS
+        return spark.read.parquet(_WRITTEN[key]).select(*columns)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._read("nodes")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._read("edges")
+
+
 def graph_of(spark: SparkSession, folder: str) -> PropertyGraph:
+    return StoredGraph(spark, folder)
+
+
+def projected(spark: SparkSession, folder: str) -> PropertyGraph:
+    """The graph as a plan over the tables."""
     t = lambda name: table(spark, folder, name)
     key = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
     null = F.lit(None).cast("string")

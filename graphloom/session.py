@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -35,7 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    if named is None:
+        named = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
