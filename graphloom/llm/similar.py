@@ -42,7 +42,7 @@ PART_ROWS = 32_768
 PROBES = 6
 MARGIN = 0.12
 LIST_ROWS = 256
-LIST_SHARE = 0.5
+LIST_SHARE = 0.6
 BLOCK = 32
 EPSILON = 2.1
 SEED = 11
