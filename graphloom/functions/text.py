@@ -102,6 +102,12 @@ def line_range(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), max(1, first), max(0, last - max(1, first) + 1)), "\n")
 
 
+def lines_between(text: Column, first: Column, last: Column) -> Column:
+    """Lines first to last of columns, counted from 1; empty beyond the end, null without either."""
+    begin = F.greatest(F.lit(1), first)
+    return F.array_join(F.slice(F.split(text, "\n"), begin, F.greatest(F.lit(0), last - begin + 1)), "\n")
+
+
 def assembled(name: Column, description: Column, kind: Column, params: Column, extends: Column, implements: Column, path: Column) -> Column:
     """The text an element is embedded by; missing parts are left out."""
     named = lambda label, c: F.concat(F.lit(label), c)

@@ -67,6 +67,19 @@ def prune(data: dict[str, Any], priorities: dict[str, str], budget: float) -> di
     return out
 
 
+def allot(slots: dict[str, list[Any]], budget: float, shares: dict[str, float] = ALLOCATION) -> dict[str, list[Any]]:
+    """Of each slot the items that fit its share of the budget, in order; those that don't fit are skipped."""
+    out: dict[str, list[Any]] = {}
+    for name, items in slots.items():
+        left = budget * shares.get(name, 0.05)
+        out[name] = []
+        for item in items:
+            if (cost := estimate(item)) <= left:
+                out[name].append(item)
+                left -= cost
+    return out
+
+
 def envelope(summary: str, data: Any, profile: str = "compact", priorities: dict[str, str] | None = None, hint: str | None = None) -> dict[str, Any]:
     """The answer of a call: shaped, pruned to its budget, with its estimated tokens."""
     shaped = shape(data, profile)

@@ -35,10 +35,11 @@ def invalid_because() -> Column:
     return out
 
 
-def admitted(episodes: DataFrame) -> DataFrame:
-    """Valid episodes, once each, with at most MAX_ENTITIES entities."""
+def admitted(episodes: DataFrame, entities: int | None = MAX_ENTITIES) -> DataFrame:
+    """Valid episodes, once each, with their first entities; with all if `entities` is None."""
     rows = episodes.filter(invalid_because().isNull()).dropDuplicates(["id"])
-    return rows.withColumn("entities", F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, MAX_ENTITIES))
+    every = F.coalesce("entities", F.array().cast("array<string>"))
+    return rows.withColumn("entities", every if entities is None else F.slice(every, 1, entities))
 
 
 def involves(episodes: DataFrame, nodes: DataFrame) -> DataFrame:

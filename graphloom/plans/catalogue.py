@@ -148,7 +148,7 @@ r{k} AS MATERIALIZED (SELECT r.id, r.base, {1 - d!r} * r.base + {d!r} * coalesce
 
 
 _WEIGHT = "CASE type WHEN 'CALLS_TO' THEN 0.9::DOUBLE WHEN 'IMPORTS' THEN 0.7 WHEN 'CONTAINS' THEN 0.5 WHEN 'TESTS' THEN 0.4 ELSE 0.2 END"
-_PPR = f"{GRAPH_SQL}, ranked AS (SELECT * FROM gedges)" + _rank_sql(5, _WEIGHT, "SELECT src AS id FROM gedges UNION SELECT dst FROM gedges", f"CASE WHEN id = '{SEED}' THEN 1.0::DOUBLE ELSE 0 END")
+_PPR, _PPR20 = (f"{GRAPH_SQL}, ranked AS (SELECT * FROM gedges)" + _rank_sql(n, _WEIGHT, "SELECT src AS id FROM gedges UNION SELECT dst FROM gedges", f"CASE WHEN id = '{SEED}' THEN 1.0::DOUBLE ELSE 0 END") for n in (5, 20))
 _PR = ", ranked AS (SELECT DISTINCT src, dst FROM gedges)" + _rank_sql(5, "1.0::DOUBLE", "SELECT DISTINCT id FROM gnodes", "1.0::DOUBLE / count(*) OVER ()")
 
 
@@ -157,7 +157,7 @@ def ppr_power_iteration(spark, d):
     return rank.personalised_pagerank(graph_of(spark, d), seeds(spark, SEED), rounds=5, limit=None)
 
 
-@query()
+@query(f"{_PPR20} SELECT id, round(rank, 6) AS score FROM r20 ORDER BY score DESC, id LIMIT 50")
 def ppr_top50(spark, d):
     """20 rounds, the 50 best."""
     return rank.personalised_pagerank(graph_of(spark, d), seeds(spark, SEED))
@@ -923,7 +923,16 @@ def cypher_as_of(spark, d):
 
 @query(f"{GRAPH_SQL} SELECT type, count(*) AS count FROM gnodes GROUP BY type")
 def cypher_from_words(spark, d):
-    return _cypher(spark, d, from_words("how many nodes are there?"))
+    query_text, params = from_words("how many nodes are there?")
+    return _cypher(spark, d, query_text, params=params)
+
+
+@query(f"""{GRAPH_SQL} SELECT DISTINCT a.name AS name FROM gedges e JOIN gnodes a ON a.id = e.src JOIN gnodes b ON b.id = e.dst
+WHERE e.type = 'CALLS_TO' AND b.name = (SELECT name FROM gnodes WHERE id = 'p:7')""")
+def cypher_callers_from_words(spark, d):
+    name = graph_of(spark, d).node("p:7").first()["name"]
+    query_text, params = from_words(f"who calls '{name}'?")
+    return _cypher(spark, d, query_text, params=params)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,8 +64,8 @@ def folders(paths: DataFrame, project: str, now: int) -> tuple[DataFrame, DataFr
     return nodes, inner.unionByName(files)
 
 
-def code_graph(files: DataFrame, project: str, now: int) -> PropertyGraph:
-    """The graph of source files (relative_path, text, language)."""
+def code_graph(files: DataFrame, project: str, now: int, known: DataFrame | None = None) -> PropertyGraph:
+    """The graph of source files (relative_path, text, language); `known` are the nodes of other files, which imports and tests may lead to."""
     facts = file_facts(files)
     parsed = symbols(files).join(facts.select("relative_path", "language"), "relative_path").persist()
     path, name = F.col("relative_path"), F.col("name")
@@ -94,7 +94,10 @@ def code_graph(files: DataFrame, project: str, now: int) -> PropertyGraph:
         _rows(cases, "TEST_CASE", sid("case"), name, path, None, project, now, **lines),
         _rows(calls, "FUNCTION", stub, name, F.lit(None).cast("string"), None, project, now, stub=F.lit(True)),
     ]
-    resolved = resolve_imports(imports.select("relative_path", "language", name.alias("source"), "start_line", "specifiers"), facts)
+    there = facts.select("relative_path")
+    if known is not None:
+        there = there.unionByName(known.filter("type = 'FILE'").select(F.col("path").alias("relative_path")))
+    resolved = resolve_imports(imports.select("relative_path", "language", name.alias("source"), "start_line", "specifiers"), there)
     rid = F.concat(F.lit(f"{project}:import:"), path, F.lit(":"), F.col("source"), F.lit(":"), F.col("start_line").cast("string"))
     parents = classes.withColumn("_gl_i", F.explode(F.transform(F.split(F.coalesce("detail", F.lit("")), ","), lambda x: F.trim(F.get(F.split(x, "<"), F.lit(0))))))
     named = lambda c: F.concat(F.lit(f"{project}:class:"), c)
@@ -114,12 +117,12 @@ def code_graph(files: DataFrame, project: str, now: int) -> PropertyGraph:
         _edges(parents.filter("_gl_i <> '' and kind = 'class' and language in ('typescript', 'javascript', 'java')"), sid("class"), named(F.col("_gl_i")), "IMPLEMENTS"),
         _edges(resolved.filter("target is not null"), rid, fid(F.col("target")), "REFERENCES"),
         _edges(resolved.filter("target is not null"), fid(path), fid(F.col("target")), "DEPENDS_ON"),
-        tests_edges(parsed, resolved, project),
+        tests_edges(parsed, resolved, project, known),
     ]
     return PropertyGraph(_union(nodes).dropDuplicates(["id"]), _union(edges).dropDuplicates(["src", "dst", "type"]))
 
 
-def tests_edges(parsed: DataFrame, resolved: DataFrame, project: str) -> DataFrame:
+def tests_edges(parsed: DataFrame, resolved: DataFrame, project: str, others: DataFrame | None = None) -> DataFrame:
     """TESTS edges: the suites of a test file to the files it imports, suites and cases to the imported symbols."""
     path = F.col("relative_path")
     tests = parsed.filter(F.col("kind").isin("test_suite", "test_case") & is_test(path))
@@ -130,6 +133,8 @@ def tests_edges(parsed: DataFrame, resolved: DataFrame, project: str) -> DataFra
     kinds = parsed.filter(F.col("kind").isin("function", *CLASS_KINDS))
     prefix = F.when(F.col("kind") == "function", "func").otherwise("class")
     known = kinds.select(path.alias("target"), F.col("name").alias("_gl_n"), F.concat(F.lit(f"{project}:"), prefix, F.lit(":"), path, F.lit(":"), "name", F.lit(":"), F.col("start_line").cast("string")).alias("_gl_d"))
+    if others is not None:
+        known = known.unionByName(others.filter("type in ('FUNCTION', 'CLASS')").select(F.col("path").alias("target"), F.col("name").alias("_gl_n"), F.col("id").alias("_gl_d")))
     by_name = uses.withColumn("_gl_n", F.explode("specifiers")).join(known, ["target", "_gl_n"])
     return files.unionByName(_edges(by_name, F.col("_gl_t"), F.col("_gl_d"), "TESTS"))
 
@@ -141,15 +146,16 @@ def resolve_calls(graph: PropertyGraph) -> DataFrame:
     return graph.edges_of("CALLS_TO").join(stubs, "dst").join(real, "name").select("src", F.col("real").alias("dst")).distinct()
 
 
-def document_graph(files: DataFrame, code: DataFrame, project: str, now: int) -> PropertyGraph:
+def document_graph(files: DataFrame, code: DataFrame, project: str, now: int, stored: int | None = D.STORED) -> PropertyGraph:
     """The graph of markdown files (relative_path, text), with edges to the code nodes they name."""
     parts = D.section_ids(D.sections(files), project).persist()
     about = D.documents(parts).join(files.select("relative_path", F.sha2("text", 256).alias("hash")), "relative_path")
     did = F.concat(F.lit(f"{project}:doc:"), "relative_path")
     doc_nodes = _rows(about, "DOCUMENT", did, F.col("title"), F.col("relative_path"), None, project, now, kind=F.col("kind"), wordCount=F.col("word_count"), hash=F.col("hash"))
     words = D.word_count(F.col("heading"), F.col("content"))
-    # the store keeps the first STORED characters of a section; parts itself keeps all
-    section_nodes = _rows(parts, "SECTION", F.col("id"), F.col("heading"), F.col("relative_path"), F.substring("content", 1, D.STORED), project, now, level=F.col("level"), startLine=F.col("start_line"), wordCount=words, docId=F.col("doc_id"))
+    # a section node keeps the first `stored` characters, all if that is None; parts itself keeps all
+    content = F.col("content") if stored is None else F.substring("content", 1, stored)
+    section_nodes = _rows(parts, "SECTION", F.col("id"), F.col("heading"), F.col("relative_path"), content, project, now, level=F.col("level"), startLine=F.col("start_line"), wordCount=words, docId=F.col("doc_id"))
     refs = parts.select("id", F.explode(D.backtick_refs(F.col("heading"), F.col("content"))).alias("ref"))
     named = D.describes(refs, code)
     chain = D.section_edges(parts)

@@ -100,13 +100,18 @@ def markdown_files(files: DataFrame, exclude: Sequence[str] = EXCLUDED) -> DataF
     return rows.filter(~F.arrays_overlap(F.split("relative_path", "/"), F.array(*map(F.lit, exclude))))
 
 
-def reference_files(files: DataFrame) -> DataFrame:
-    """The first 120 source files of a reference repository to a depth of 7, by path; a bounded report."""
-    return source_files(files).filter(depth(F.col("relative_path")) <= REF_DEPTH).orderBy("relative_path").limit(REF_FILES)
+def _first(files: DataFrame, most: int | None) -> DataFrame:
+    rows = files.orderBy("relative_path")
+    return rows if most is None else rows.limit(most)
 
 
-def reference_documents(files: DataFrame) -> DataFrame:
-    return markdown_files(files).orderBy("relative_path").limit(REF_DOCS)
+def reference_files(files: DataFrame, most: int | None = REF_FILES, deepest: int = REF_DEPTH) -> DataFrame:
+    """The first source files of a reference repository by path, to a depth; all of them if `most` is None."""
+    return _first(source_files(files).filter(depth(F.col("relative_path")) <= deepest), most)
+
+
+def reference_documents(files: DataFrame, most: int | None = REF_DOCS) -> DataFrame:
+    return _first(markdown_files(files), most)
 
 
 def folder_tree(files: DataFrame, levels: int = 3, entries: int = 40) -> DataFrame:

@@ -66,6 +66,5 @@ def import_sources(files: DataFrame) -> DataFrame:
         F.when(F.col("language").isin("typescript", "javascript"), find(r"(?:import|export)\s+(?:[^\"';]*?\s+)?from\s+['\"]([^'\"]+)['\"]"))
         .when(F.col("language") == "python", F.concat(slashed(find(r"(?m)^from\s+([\w.]+)\s+import\s")), slashed(find(r"(?m)^import\s+([\w.]+)"))))
         .when(F.col("language") == "go", F.concat(block, find(r"import\s+\"([^\"]+)\"")))
-        .when(F.col("language") == "ruby", find(r"require(?:_relative)?\s+['\"]([^'\"]+)['\"]"))
     )
     return files.select("relative_path", "language", F.explode(F.array_distinct(by_language)).alias("source"))

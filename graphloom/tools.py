@@ -15,13 +15,15 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom import model
-from graphloom.functions.text import query_tokens
+from graphloom.functions.text import lines_between, query_tokens
 from graphloom.functions.vectors import code_vector
 from graphloom.graph import PropertyGraph
 from graphloom.operators import budget, claims, community, impact, layers, memory, progress, rank, retrieve, temporal, traverse
 from graphloom.plans.cypher import cypher
+from graphloom.session import cut_lineage
 
 EPISODE = "id string, agentId string, sessionId string, taskId string, type string, content string, timestamp long, outcome string, metadata string, sensitive boolean, entities array<string>, projectId string"
 CLAIM = "id string, agentId string, sessionId string, taskId string, claimType string, targetId string, intent string, validFrom long, targetVersionSHA string, validTo long, invalidationReason string, outcome string, projectId string"
@@ -112,6 +114,10 @@ def guard_limit(value: Any, low: int, high: int) -> int:
     return max(low, min(high, int(value)))
 
 
+#: A table that grows row by row is cut from its lineage after so many calls.
+CUT_EVERY = 20
+
+
 @dataclass
 class Engine:
     """The tables of a project and the time of its calls (epoch milliseconds)."""
@@ -121,16 +127,20 @@ class Engine:
     project: str = "demo"
     now: int = 0
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    added: dict[str, int] = field(default_factory=dict)
+    profile: str = "compact"
     layers: list[layers.Layer] = field(default_factory=lambda: list(layers.DEFAULT_LAYERS))
 
     def table(self, name: str) -> DataFrame:
-        schemas = {"episodes": EPISODE, "claims": CLAIM, "tasks": TASK, "features": FEATURE, "vectors": VECTOR, "transactions": TX, "learnings": "id string, content string, confidence double", "applies": "src string, dst string"}
+        schemas = {"episodes": EPISODE, "claims": CLAIM, "tasks": TASK, "features": FEATURE, "vectors": VECTOR, "transactions": TX, "learnings": "id string, content string, confidence double", "applies": "src string, dst string", "files": "relative_path string, text string", "digests": "relative_path string, hash string"}
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], schemas[name])
 
     def add(self, name: str, row: dict[str, Any]) -> None:
         old = self.table(name)
         new = self.spark.createDataFrame([tuple(row.get(c) for c in old.columns)], old.schema)
-        self.tables[name] = old.unionByName(new)
+        self.added[name] = self.added.get(name, 0) + 1
+        table = old.unionByName(new)
+        self.tables[name] = cut_lineage(table) if self.added[name] % CUT_EVERY == 0 else table
 
     def call(self, tool: str, arguments: dict[str, Any] | None = None, profile: str = "compact") -> dict[str, Any]:
         """The envelope of one call; errors are envelopes too."""
@@ -145,6 +155,7 @@ class Engine:
         if tool in OUT_OF_SCOPE:
             return budget.error("OUT_OF_SCOPE", f"{tool} runs programs or writes files outside of the data, which this engine doesn't do", False, profile)
         args = CONTRACTS[tool][1] | given
+        self.profile = profile
         try:
             summary, data = HANDLERS[tool](self, args)
         except (BadArguments, KeyError, ValueError) as e:
@@ -208,21 +219,42 @@ def _communities(e: Engine) -> DataFrame:
     return community.summaries(community.directory_communities(e.graph.label(*model.CODE)))
 
 
+def _changed_only(e: Engine, files: DataFrame) -> tuple[DataFrame, PropertyGraph, DataFrame]:
+    """The files to read again (new, changed, or importing a changed or vanished one), the graph of the others, and the open nodes there were of them."""
+    found = temporal.changes(files.select("relative_path", "hash"), e.table("digests"), "relative_path").persist()
+    paths = e.graph.nodes.select("id", F.col("path").alias("relative_path"))
+    ids = paths.join(found, "relative_path", "left_semi").select("id")
+    using = e.graph.edges_of("DEPENDS_ON").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    touched = found.select("relative_path").unionByName(paths.join(using, "id", "left_semi").select("relative_path")).distinct().persist()
+    old = e.graph.nodes.join(touched, F.col("path") == F.col("relative_path"), "left_semi").filter("valid_to is null")
+    rest = e.graph.nodes.join(old.select("id"), "id", "left_anti")
+    edges = e.graph.edges.join(old.select(F.col("id").alias("src")), "src", "left_anti")
+    return files.join(touched, "relative_path", "left_semi"), PropertyGraph(rest, edges), old
+
+
 @tool
 def graph_rebuild(e: Engine, a: dict[str, Any]) -> tuple[str, Any]:
+    """Incremental rebuilds parse changed files and their importers only; nodes that vanished are closed, not removed."""
     from graphloom.sources import build, discovery
     from graphloom.sources.store import sync
 
     root = guard_text(a["workspaceRoot"], "workspaceRoot", 4096)
-    files = discovery.read_files(e.spark, root + (f"/{a['sourceDir']}" if a["sourceDir"] else ""))
-    code = build.code_graph(discovery.source_files(files), e.project, e.now)
+    files = cut_lineage(discovery.read_files(e.spark, root + (f"/{a['sourceDir']}" if a["sourceDir"] else "")).withColumn("hash", F.sha2("text", 256)))
+    read, base, old = (files, None, None) if a["mode"] == "full" else _changed_only(e, files)
+    known = None if base is None else base.nodes
+    code = build.code_graph(discovery.source_files(read), e.project, e.now, known)
     if a["indexDocs"]:
-        documents = build.document_graph(discovery.markdown_files(files), code.nodes, e.project, e.now)
+        named = code.nodes if known is None else code.nodes.unionByName(known)
+        documents = build.document_graph(discovery.markdown_files(read), named, e.project, e.now)
         code = PropertyGraph(code.nodes.unionByName(documents.nodes), code.edges.unionByName(documents.edges))
-    e.graph = code if a["mode"] == "full" else sync(e.graph, code)
+    if base is not None:
+        closed = old.join(code.nodes.select("id"), "id", "left_anti").withColumn("valid_to", F.lit(e.now).cast("long"))
+        code = sync(PropertyGraph(base.nodes.unionByName(closed), base.edges), code)
+    e.graph = PropertyGraph(cut_lineage(code.nodes), cut_lineage(code.edges))
+    e.tables["files"], e.tables["digests"] = files.select("relative_path", "text"), files.select("relative_path", "hash")
     e.add("transactions", {"id": f"tx-{e.project}-{e.now}", "timestamp": e.now})
-    e.tables["claims"] = claims.invalidate_stale(e.table("claims"), e.graph.nodes, e.now)
-    return "COMPLETED", {"status": "COMPLETED", "mode": a["mode"], "transaction": f"tx-{e.project}-{e.now}"}
+    e.tables["claims"] = claims.invalidate_stale(e.table("claims"), e.graph.nodes.filter("valid_to is null"), e.now)
+    return "COMPLETED", {"status": "COMPLETED", "mode": a["mode"], "transaction": f"tx-{e.project}-{e.now}", "filesProcessed": read.count()}
 
 
 @tool
@@ -426,16 +458,42 @@ def ref_query(e: Engine, a: dict[str, Any]) -> tuple[str, Any]:
     return f"{len(out)} findings", {"mode": mode, "findings": out}
 
 
+def _live(e: Engine) -> DataFrame:
+    """Code nodes as they are now, without closed versions."""
+    return e.graph.label(*model.CODE).filter(F.col("valid_to").isNull() | (F.col("valid_to") > e.now))
+
+
+def _bodies(e: Engine, nodes: DataFrame, most: int | None = 800) -> dict[str, str]:
+    """The source lines of a few nodes by id, cut to `most` characters; nodes of unknown files are left out."""
+    line = lambda k: F.element_at("props", k).try_cast("int")
+    at = nodes.select("id", F.col("path").alias("relative_path"), line("startLine").alias("a"), line("endLine").alias("z")).filter("a is not null")
+    found = e.table("files").join(F.broadcast(at), "relative_path").select("id", lines_between(F.col("text"), F.col("a"), F.coalesce("z", "a")).alias("body"))
+    return {r["id"]: r["body"] if most is None else r["body"][:most] for r in found.collect()}
+
+
+def _around(e: Engine, ids: DataFrame, reverse: bool) -> dict[str, list[str]]:
+    """What a few nodes call, or what calls them: at most 10 each, by id."""
+    near = e.graph.hop(ids.select(F.col("id").alias("a")), "a", ["CALLS", "CALLS_TO"], "b", reverse).distinct()
+    top = near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter("n <= 10")
+    out: dict[str, list[str]] = {}
+    for r in top.orderBy("a", "b").collect():
+        out.setdefault(r["a"], []).append(r["b"])
+    return out
+
+
 @tool
 def context_pack(e: Engine, a: dict[str, Any]) -> tuple[str, Any]:
     task = guard_text(a["task"], "task")
-    code = e.graph.label(*model.CODE)
+    code = _live(e)
     seeds = retrieve.find_seeds(code, task).persist()
     # interfaces among the seeds bring what implements them
     wider = seeds.unionByName(e.graph.hop(seeds.withColumnRenamed("id", "i"), "i", ["IMPLEMENTS"], "id", reverse=True).select("id")).distinct()
     top = rank.personalised_pagerank(e.graph, wider, limit=60).join(code.select("id", "type", "name", "path", "summary"), "id").orderBy(F.desc("score"), "id").limit(8).persist()
     ids = top.select("id").unionByName(seeds).distinct()
-    data: dict[str, Any] = {"task": task, "coreSymbols": rows(top.orderBy(F.desc("score"), "id"), 8)}
+    bodies = _bodies(e, top.select("id").join(e.graph.nodes, "id"))
+    calls, callers = _around(e, top, False), _around(e, top, True)
+    core = [r | {"code": bodies.get(r["id"]), "calls": calls.get(r["id"], []), "callers": callers.get(r["id"], [])} for r in rows(top.orderBy(F.desc("score"), "id"), 8)]
+    data: dict[str, Any] = {"task": task, "coreSymbols": core}
     near = e.graph.hop(top.select(F.col("id").alias("a")), "a", ["CALLS", "CALLS_TO", "IMPORTS", "DEPENDS_ON"], "b")
     data["dependencies"] = rows(near.distinct().orderBy("a", "b"), 40)
     data["activeBlockers"] = rows(claims.blockers(claims.latest(e.table("claims")), ids, a["agentId"] or "").select("id", "agentId", "targetId", "intent"), 20)
@@ -445,6 +503,10 @@ def context_pack(e: Engine, a: dict[str, Any]) -> tuple[str, Any]:
         data["learnings"] = rows(memory.learnings_about(e.table("learnings"), e.table("applies"), ids), 10)
     if a["includeEpisodes"]:
         data["episodes"] = rows(memory.recent(e.table("episodes"), a["taskId"], a["agentId"]).select("id", "type", "content", "timestamp"), 10)
+    # every slot has its share of the profile's budget; the first symbol stays in any case
+    slots = {"coreSymbols": "coreCode", "dependencies": "dependencies", "decisions": "decisions", "learnings": "plan", "episodes": "episodeHistory"}
+    fitting = budget.allot({slot: data.get(k, []) for k, slot in slots.items()}, budget.BUDGETS[e.profile])
+    data |= {k: fitting[slot] or (data[k][:1] if k == "coreSymbols" else []) for k, slot in slots.items() if k in data}
     return f"{len(data['coreSymbols'])} symbols", data
 
 
@@ -453,13 +515,16 @@ def semantic_slice(e: Engine, a: dict[str, Any]) -> tuple[str, Any]:
     asked = a["symbol"] or a["file"] or a["query"]
     if not asked:
         raise BadArguments("one of file, symbol and query is needed")
-    found = rows(retrieve.resolve_element(e.graph.label(*model.CODE), asked, e.project), 1)
+    found = rows(retrieve.resolve_element(_live(e), asked, e.project), 1)
     if not found and a["query"]:
-        found = rows(retrieve.find_seeds(e.graph.label(*model.CODE), a["query"], 1).join(e.graph.nodes, "id"), 1)
+        found = rows(retrieve.find_seeds(_live(e), a["query"], 1).join(e.graph.nodes, "id"), 1)
     if not found:
         raise KeyError(f"{asked} not found")
     node = found[0]
     data: dict[str, Any] = {"id": node["id"], "name": node["name"], "path": node["path"], "summary": node["summary"], "lines": {k: (node.get("props") or {}).get(k) for k in ("startLine", "endLine")}}
+    body = _bodies(e, e.graph.node(node["id"]), None).get(node["id"])
+    if body is not None:
+        data["code"] = body.split("\n", 1)[0] if a["context"] == "signature" else body
     if a["context"] in ("with-deps", "full"):
         data["outgoing"] = rows(e.graph.outgoing(node["id"]).select("dst", "type").orderBy("type", "dst"), 10)
         data["incoming"] = rows(e.graph.incoming(node["id"]).select("src", "type").orderBy("type", "src"), 10)
