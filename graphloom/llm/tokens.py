@@ -5,7 +5,8 @@ chunks that overlap; the chunks are spread over the cluster and pre-tokenised in
 its own start. Two neighbours are stitched at the first place in their overlap where both have a
 pre-token boundary: from there on their pre-tokens agree, because the pre-tokeniser never looks back
 beyond a boundary. BPE works within pre-tokens, so the ids between the stitches are those of the
-text. A text whose chunks don't meet (one pre-token longer than the overlap) is encoded whole.
+text. A text whose chunks don't meet (one pre-token longer than the overlap) is put together and
+encoded whole.
 Decoding concatenates the bytes of the ids.
 
 Defined results: every row gives one, repeated rows and rows with one id and different texts too,
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,7 +75,7 @@ def _encode_texts(path: str, name: str, count: bool):
     return run
 
 
-CHUNKS = "_gl_id {0}, _gl_h string, _gl_copies long, _gl_k int, _gl_left array<int>, _gl_leftn array<int>, _gl_right array<int>, _gl_rightn array<int>, _gl_ids array<int>"
+CHUNKS = "_gl_id {0}, _gl_h string, _gl_copies long, _gl_k int, _gl_left array<int>, _gl_leftn array<int>, _gl_right array<int>, _gl_rightn array<int>, _gl_ids array<int>, _gl_own string"
 
 
 def _encode_chunk(encode, text: str, k: int, n: int, chunk: int, overlap: int, path: str, name: str) -> tuple:
@@ -101,7 +103,24 @@ def _encode_chunks(path: str, name: str, chunk: int, overlap: int):
             k, n, text = (batch.column(c).to_pylist() for c in ("_gl_k", "_gl_n", "_gl_text"))
             done = [_encode_chunk(encode, t, i, m, chunk, overlap, path, name) for i, m, t in zip(k, n, text)]
             lists = [pa.array([d[j] for d in done], ints) for j in range(5)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_gl_id", "_gl_h", "_gl_copies")), pa.array(k, pa.int32()), *lists], ["_gl_id", "_gl_h", "_gl_copies", "_gl_k", "_gl_left", "_gl_leftn", "_gl_right", "_gl_rightn", "_gl_ids"])
+            own = pa.array([t[:chunk] for t in text], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_gl_id", "_gl_h", "_gl_copies")), pa.array(k, pa.int32()), *lists, own], ["_gl_id", "_gl_h", "_gl_copies", "_gl_k", "_gl_left", "_gl_leftn", "_gl_right", "_gl_rightn", "_gl_ids", "_gl_own"])
+
+    return run
+
+
+def _joined_parts(path: str, name: str):
+    """One row for each copy: the ids of the stitched parts, or of the text if its chunks didn't meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(path, name).encode_ordinary
+        for batch in batches:
+            again = [None if t is None else encode(t) for t in batch.column("_gl_text").to_pylist()]
+            ids = batch.column("_gl_ids")
+            if any(x is not None for x in again):
+                ids = pa.array([b if a is None else a for a, b in zip(again, ids.to_pylist())], pa.list_(pa.int32()))
+            rows = np.repeat(np.arange(batch.num_rows), batch.column("_gl_copies").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("_gl_id").take(rows), ids.take(rows)], ["_gl_id", "_gl_ids"])
 
     return run
 
@@ -126,11 +145,13 @@ def _long_texts(long: DataFrame, kind: str, path: str, name: str, chunk: int, ov
     begin = F.when(F.col("_gl_k") > 0, F.when(F.col("_gl_from").isNotNull(), count_at("_gl_left", "_gl_leftn", "_gl_from"))).otherwise(0)
     end = F.when(F.col("_gl_stitch").isNotNull(), count_at("_gl_right", "_gl_rightn", "_gl_stitch")).otherwise(F.size("_gl_ids"))
     part = F.slice("_gl_ids", F.coalesce(begin, F.lit(0)) + 1, F.greatest(F.lit(0), end - F.coalesce(begin, F.lit(0))))
-    whole = done.groupBy("_gl_id", "_gl_h").agg(F.max("_gl_copies").alias("_gl_copies"), F.max("_gl_lost").alias("_gl_lost"), F.sort_array(F.collect_list(F.struct("_gl_k", part.alias("ids")))).alias("_gl_all"))
-    stitched = whole.filter(~F.col("_gl_lost")).withColumn("_gl_copy", F.explode(F.sequence(F.lit(1), F.col("_gl_copies")))).select("_gl_id", F.flatten("_gl_all.ids").alias("_gl_ids"))
-    lost = whole.filter("_gl_lost").select(F.col("_gl_id").alias("_gl_lid"), F.col("_gl_h").alias("_gl_lh"))
-    again = long.join(lost, F.col("_gl_id").eqNullSafe(F.col("_gl_lid")) & (F.col("_gl_h") == F.col("_gl_lh")), "left_semi").select("_gl_id", "_gl_text")
-    return stitched.unionByName(again.mapInArrow(_encode_texts(path, name, False), f"_gl_id {kind}, _gl_ids array<int>"))
+    # the chunks of a text that didn't meet bring it along, so nothing is read or encoded for all again
+    by_text = Window.partitionBy("_gl_id", "_gl_h")
+    done = done.withColumn("_gl_lost", F.max("_gl_lost").over(by_text))
+    of_chunk = F.struct("_gl_k", F.when(~F.col("_gl_lost"), part).alias("ids"), F.when(F.col("_gl_lost"), F.col("_gl_own")).alias("own"))
+    whole = done.groupBy("_gl_id", "_gl_h").agg(F.max("_gl_copies").alias("_gl_copies"), F.max("_gl_lost").alias("_gl_lost"), F.sort_array(F.collect_list(of_chunk)).alias("_gl_all"))
+    whole = whole.select("_gl_id", "_gl_copies", F.when(~F.col("_gl_lost"), F.flatten("_gl_all.ids")).alias("_gl_ids"), F.when(F.col("_gl_lost"), F.array_join("_gl_all.own", "")).alias("_gl_text"))
+    return whole.mapInArrow(_joined_parts(path, name), f"_gl_id {kind}, _gl_ids array<int>")
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, name: str, chunk: int, overlap: int, count: bool) -> DataFrame:
