@@ -3,19 +3,21 @@ suppliers test suites, orders imports and parts functions.
 
 CALLS_TO links the parts of consecutive lines of an order. Edges are distinct. A session writes the
 nodes and the edges of a folder once, when a query first reads them, into its checkpoint folder; edges
-lie apart by type, so a query reads only the types it names.
+lie apart by type, so a query reads only the types it names. One type is written after the other, each
+from a shuffle of its keys as numbers by source, which serves the distinct and the order of the files
+and is freed before the next: at no time does the disk hold the shuffles of two types.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
-from graphloom.session import checkpoint_dir
+from graphloom.session import shared_path, shuffles_freed, written
 from graphloom.sources.tables import table
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -48,9 +50,13 @@ class StoredGraph(PropertyGraph):
         spark, folder = self._at
         key = (spark.sparkContext.applicationId, folder, part)
         if key not in _WRITTEN:
-            path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}-{part}"
-            built = getattr(projected(spark, folder), part)
-            (built.repartition("type", "src") if part == "edges" else built).write.partitionBy("type").parquet(path)
+            path = shared_path(spark, f"graph-{part}")
+            if part == "edges":
+                for kind, df in _edges(spark, folder).items():
+                    written(df.drop("type"), f"{path}/type={kind}")
+            else:
+                with shuffles_freed(spark):
+                    projected(spark, folder).nodes.write.partitionBy("type").parquet(path)
             _WRITTEN[key] = path
         columns = ["src", "dst", "type"] if part == "edges" else COLUMNS
         return spark.read.parquet(_WRITTEN[key]).select(*columns)
@@ -84,21 +90,29 @@ def projected(spark: SparkSession, folder: str) -> PropertyGraph:
         _node(t("part"), "FUNCTION", key("p", "p_partkey"), F.col("p_name"), F.concat(F.lit("src/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".ts")), F.col("p_type")),
     ):
         nodes = nodes.unionByName(part)
+    return PropertyGraph(nodes, reduce(DataFrame.unionByName, _edges(spark, folder).values()))
+
+
+def _edges(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The edges (src, dst, type) by type."""
+    t = lambda name: table(spark, folder, name)
+    key = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
     edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+    # repartitioned by source first, the distinct and the sort need no other shuffle
+    pairs = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b")).repartition("a").distinct().sortWithinPartitions("a")
+    contains = edge(t("nation"), key("r", "n_regionkey"), key("n", "n_nationkey"), "CONTAINS")
+    contains = contains.unionByName(edge(t("customer"), key("n", "c_nationkey"), key("c", "c_custkey"), "CONTAINS"))
+    contains = contains.unionByName(edge(t("supplier"), key("n", "s_nationkey"), key("s", "s_suppkey"), "CONTAINS"))
     lines = t("lineitem")
     nexts = lines.select(F.col("l_orderkey"), (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("callee"))
     calls = lines.join(nexts, ["l_orderkey", "l_linenumber"]).filter(F.col("l_partkey") != F.col("callee"))
-    edges = edge(t("nation"), key("r", "n_regionkey"), key("n", "n_nationkey"), "CONTAINS")
-    for part in (
-        edge(t("customer"), key("n", "c_nationkey"), key("c", "c_custkey"), "CONTAINS"),
-        edge(t("supplier"), key("n", "s_nationkey"), key("s", "s_suppkey"), "CONTAINS"),
-        edge(t("orders"), key("c", "o_custkey"), key("o", "o_orderkey"), "IMPORTS"),
-        edge(lines, key("o", "l_orderkey"), key("p", "l_partkey"), "REFERENCES").distinct(),
-        edge(lines, key("s", "l_suppkey"), key("p", "l_partkey"), "TESTS").distinct(),
-        edge(calls, key("p", "l_partkey"), key("p", "callee"), "CALLS_TO").distinct(),
-    ):
-        edges = edges.unionByName(part)
-    return PropertyGraph(nodes, edges)
+    return {
+        "CONTAINS": contains,
+        "IMPORTS": edge(t("orders"), key("c", "o_custkey"), key("o", "o_orderkey"), "IMPORTS"),
+        "REFERENCES": edge(pairs(lines, "l_orderkey", "l_partkey"), key("o", "a"), key("p", "b"), "REFERENCES"),
+        "TESTS": edge(pairs(lines, "l_suppkey", "l_partkey"), key("s", "a"), key("p", "b"), "TESTS"),
+        "CALLS_TO": edge(pairs(calls, "l_partkey", "callee"), key("p", "a"), key("p", "b"), "CALLS_TO"),
+    }
 
 
 NODES_SQL = """gnodes AS (
